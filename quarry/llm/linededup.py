@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Blanks stripped from both ends of a line, and the letters that are lower-cased.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -44,6 +46,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         by_doc = lines.select("_ld_h1", "_ld_h2", "_ld_id").distinct().groupBy("_ld_h1", "_ld_h2")
         first = by_doc.agg(F.min("_ld_id").alias("_ld_first"), F.count(F.lit(1)).alias("_ld_docs")).where(F.col("_ld_docs") >= min_docs).drop("_ld_docs")
+    # read back as a table, both sides of the join are plain exchanges, which Spark splits where a line is hot
+    first = materialize(first, "repeated-lines")
     dropped = (
         lines.join(first, ["_ld_h1", "_ld_h2"])
         .where("_ld_id <> _ld_first")
