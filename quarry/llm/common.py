@@ -41,6 +41,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/quarry-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
+    spark.sparkContext._jvm.System.gc()  # else the shuffle files of finished steps stay on the executors' disks
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -30,6 +30,8 @@ FREQUENT_FROM, FREQUENT_MOST = 8, 1_000_000
 GATHER = 2_000_000
 #: Bits of a signature, and classes of one block of a tile.
 BITS, BLOCK = 1024, 256
+#: Tiles of so many classes at most give their pairs before signatures are fetched for them.
+SMALL = 32
 #: Bits of the filter that says which classes are wanted (16 MB at most).
 FILTER_BITS = 1 << 27
 
@@ -57,7 +59,7 @@ def _need(n, num: int, den: int):
 
 
 def profile(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """kind 0: a = id, b = class, n = set size. kind 1: a shingle a that n texts of one gathering hold, n > 1."""
+    """kind 0: a = id, b = class, n = set size, sig = bitmap signature. kind 1: a shingle a that n texts of one gathering hold, n > 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -70,7 +72,7 @@ def profile(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
                     held.append(s)
                     size += len(s)
             n = len(b)
-            yield _profile_rows(0, b.column(0).cast(pa.int64()), pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), n)
+            yield _profile_rows(0, b.column(0).cast(pa.int64()), pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_signature(s) for s in sets], pa.binary()), n)
             if size >= GATHER:
                 yield _repeated(held)
                 held, size = [], 0
@@ -78,17 +80,17 @@ def profile(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
             yield _repeated(held)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "kind int, a long, b long, n long")
+    return rows.mapInArrow(run, "kind int, a long, b long, n long, sig binary")
 
 
-def _profile_rows(kind: int, a: pa.Array, b: pa.Array, n: pa.Array, rows: int) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(np.full(rows, kind, np.int32)), a, b, n], ["kind", "a", "b", "n"])
+def _profile_rows(kind: int, a: pa.Array, b: pa.Array, n: pa.Array, sig: pa.Array, rows: int) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(np.full(rows, kind, np.int32)), a, b, n, sig], ["kind", "a", "b", "n", "sig"])
 
 
 def _repeated(held: list[np.ndarray]) -> pa.RecordBatch:
     u, c = np.unique(np.concatenate(held), return_counts=True)
     u, c = u[c > 1], c[c > 1]
-    return _profile_rows(1, pa.array(_signed(u)), pa.array(np.zeros(len(u), np.int64)), pa.array(c), len(u))
+    return _profile_rows(1, pa.array(_signed(u)), pa.array(np.zeros(len(u), np.int64)), pa.array(c), pa.nulls(len(u), pa.binary()), len(u))
 
 
 def _frequent(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +174,7 @@ def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(np.concatenate(out_k), pa.int64()), pa.array(np.concatenate(out_c), pa.int64())], ["key", "cls"])
 
 
-def _wanted_filter(classes: DataFrame, count: int) -> np.ndarray:
+def class_filter(classes: DataFrame, count: int) -> np.ndarray:
     """Bits of the classes wanted; a bit can stand for others too, which a join sorts out."""
     bits = min(FILTER_BITS, max(1 << 18, 1 << (64 * count).bit_length()))
     rows = classes.select(F.pmod("cls", F.lit(bits)).alias("bit")).distinct().repartition(F.floor(F.col("bit") / (1 << 18)))
@@ -199,8 +201,8 @@ def _signature(s: np.ndarray) -> bytes:
 
 
 def _fetch_sets(docs: DataFrame, classes: DataFrame, k: int, text_col: str) -> DataFrame:
-    """cls, n, sig, own (the sorted set as bytes) of the classes wanted."""
-    held = docs.sparkSession.sparkContext.broadcast(_wanted_filter(classes, classes.count()))
+    """cls and own (the sorted set as bytes) of the classes wanted."""
+    held = docs.sparkSession.sparkContext.broadcast(class_filter(classes, classes.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = held.value, set()
@@ -211,14 +213,13 @@ def _fetch_sets(docs: DataFrame, classes: DataFrame, k: int, text_col: str) -> D
                 at = c % (len(bits) * 8)
                 if bits[at >> 3] >> (7 - (at & 7)) & 1 and c not in seen:
                     seen.add(c)
-                    out.append((c, len(s), _signature(s), s.tobytes()))
+                    out.append((c, s.tobytes()))
             if out:
-                cls, n, sig, own = zip(*out, strict=True)
-                yield pa.record_batch([pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(own, pa.binary())], ["cls", "n", "sig", "own"])
+                cls, own = zip(*out, strict=True)
+                yield pa.record_batch([pa.array(cls, pa.int64()), pa.array(own, pa.binary())], ["cls", "own"])
 
     rows = docs.select(F.col(text_col).cast("binary").alias("text"))
-    sets = rows.mapInArrow(run, "cls long, n long, sig binary, own binary")
-    return sets.join(classes, "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("own").alias("own"))
+    return rows.mapInArrow(run, "cls long, own binary").join(classes, "cls", "left_semi").groupBy("cls").agg(F.first("own").alias("own"))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -226,15 +227,19 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a, c = b.column(0).to_pylist(), b.column(1).to_pylist()
             left, right = b.column(2), b.column(3)
-            keep = [i for i in range(len(b)) if _linked(np.frombuffer(left[i].as_py(), np.uint64), np.frombuffer(right[i].as_py(), np.uint64), num, den)]
-            yield pa.record_batch([pa.array([a[i] for i in keep], pa.int64()), pa.array([c[i] for i in keep], pa.int64())], ["a", "b"])
+            keep = pa.array([_linked(np.frombuffer(left[i].as_py(), np.uint64), np.frombuffer(right[i].as_py(), np.uint64), num, den) for i in range(len(b))], pa.bool_())
+            yield pa.record_batch([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
     one, two = sets.select(F.col("cls").alias("a"), F.col("own").alias("x")), sets.select(F.col("cls").alias("b"), F.col("own").alias("y"))
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _most(n, x: np.ndarray, m, y: np.ndarray) -> np.ndarray:
+    """The largest possible overlap: each bit that only one signature has stands for a shingle at least that the other set lacks."""
+    return np.minimum(n - np.bitwise_count(x & ~y).sum(-1, dtype=np.int64), m - np.bitwise_count(y & ~x).sum(-1, dtype=np.int64))
+
+
 def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     if den * min(len(x), len(y)) < num * max(len(x), len(y)):
         return False
@@ -242,64 +247,121 @@ def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(x) + len(y) - both)
 
 
-def _tile_pairs(num: int, den: int):
-    """Pairs of a tile that are in two components and that sizes and bit counts do not rule out."""
-
-    def tile(key: np.ndarray, side: np.ndarray, cls: np.ndarray, comp: np.ndarray, n: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        # side 0 meets itself and side 1; side 1 rows never meet one another
-        rows = np.flatnonzero(side == 0)
-        got_a, got_b = [], []
-        for i in rows.tolist():
-            later = np.arange(i + 1, len(cls)) if not side.any() else np.flatnonzero(side == 1)
-            if not len(later):
-                continue
-            low, high = np.minimum(n[later], n[i]), np.maximum(n[later], n[i])
-            ok = (comp[later] != comp[i]) & (den * low >= num * high)
-            later = later[ok]
-            if len(later):
-                only_i = np.bitwise_count(sig[i] & ~sig[later]).sum(1, dtype=np.int64)
-                only_j = np.bitwise_count(sig[later] & ~sig[i]).sum(1, dtype=np.int64)
-                bound = np.minimum(n[i] - only_i, n[later] - only_j)
-                later = later[den * bound >= num * (n[i] + n[later] - bound)]
-                got_a += [cls[i]] * len(later)
-                got_b += cls[later].tolist()
-        return np.array(got_a, np.int64), np.array(got_b, np.int64)
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut anew so that rows with one value in the first column, which follow one another, stay together."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        name = b.column(0).to_numpy()
+        if name[0] == name[-1] and held[0].column(0)[0].as_py() == name[0]:
+            continue
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        name = whole.column(0).to_numpy()
+        end = int(np.flatnonzero(name != name[-1])[-1]) + 1
+        yield whole.slice(0, end)
+        held = [whole.slice(end)]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _small_pairs(num: int, den: int):
+    """From rows key, cls, n of tiles of bounded size: the pairs whose sizes can reach the similarity, a > b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for b in batches:  # rows of a tile follow one another; a tile may run over batches
-            tiles = b.column(0).to_numpy()
-            held.append(b)
-            if tiles[0] == tiles[-1] and len(held) > 1 and held[0].column(0)[0].as_py() == tiles[0]:
-                continue
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            tiles = whole.column(0).to_numpy()
-            end = int(np.flatnonzero(tiles != tiles[-1])[-1]) + 1 if tiles[0] != tiles[-1] else 0
-            yield from emit(whole.slice(0, end))
-            held = [whole.slice(end)]
-        if held:
-            yield from emit(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+        for b in _whole_groups(batches):
+            key, cls, n = (c.to_numpy() for c in b.columns)
+            edge = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(b)]])
+            found = [np.empty((2, 0), np.int64)]
+            for i, j in _row_pairs(edge, np.zeros(len(b), np.int32)):
+                ok = den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])
+                found.append(np.stack([np.maximum(cls[i[ok]], cls[j[ok]]), np.minimum(cls[i[ok]], cls[j[ok]])]))
+            pairs = np.unique(np.concatenate(found, 1), axis=1)
+            yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    return run
+
+
+def _bounded(num: int, den: int):
+    """Of rows a, b, n, sig, m, sig2 the pairs that bit counts do not rule out; bound is the similarity they allow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m = b.column(2).to_numpy(), b.column(4).to_numpy()
+            x, y = (binary_view(b.column(i))[0].view(np.uint64).reshape(len(b), -1) for i in (3, 5))
+            most = _most(n, x, m, y)
+            ok = pa.array(den * most >= num * (n + m - most))
+            yield pa.record_batch([b.column(0).filter(ok), b.column(1).filter(ok), pa.array(most / (n + m - most)).filter(ok)], ["a", "b", "bound"])
+
+    return run
+
+
+#: Pairs of rows compared at a time.
+AT_ONCE = 1 << 16
+
+
+def _row_pairs(edge: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows i, j to compare in tiles that begin at `edge`: each with each, or side 0 with side 1 where both are there."""
+    start, size = edge[:-1], np.diff(edge)
+    cut = np.add.reduceat(side, start) > 0
+    for g in np.unique(size[size > 1]).tolist():
+        for lo, two in zip(*(x.tolist() for x in (start[size == g], cut[size == g])), strict=True) if g > 32 or cut[size == g].any() else ():
+            one = lo + np.flatnonzero(side[lo : lo + g] == 0)
+            for r, i in enumerate(one.tolist()):
+                j = lo + np.flatnonzero(side[lo : lo + g] == 1) if two else one[r + 1 :]
+                if len(j):
+                    yield np.full(len(j), i), j
+        if g <= 32 and not cut[size == g].any():
+            i, j = np.triu_indices(g, 1)
+            own = start[size == g]
+            step = max(1, AT_ONCE // len(i))
+            for k in range(0, len(own), step):
+                lo = own[k : k + step, None]
+                yield (lo + i).ravel(), (lo + j).ravel()
+
+
+def _tile_pairs(num: int, den: int, best: bool):
+    """Pairs of a tile that are in two components and that sizes and bit counts do not rule out.
+
+    best: only the partner with the highest bound for each class, in both directions; bound is its similarity.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _whole_groups(batches):
+            yield from emit(b)
 
     def emit(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        if not len(b):
-            return
         tiles, side, cls, comp, n = (b.column(i).to_numpy() for i in range(5))
         sig = binary_view(b.column(5))[0].view(np.uint64).reshape(len(b), -1)
         edge = np.concatenate([[0], np.flatnonzero(tiles[1:] != tiles[:-1]) + 1, [len(b)]])
-        a, c = [], []
-        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            if hi - lo > 1:
-                x, y = tile(tiles[lo:hi], side[lo:hi], cls[lo:hi], comp[lo:hi], n[lo:hi], sig[lo:hi])
-                a.append(x)
-                c.append(y)
-        if a:
-            a, c = np.concatenate(a), np.concatenate(c)
-            pairs = np.unique(np.stack([np.maximum(a, c), np.minimum(a, c)]), axis=1)
-            yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for i, j in _row_pairs(edge, side):
+            ok = (comp[i] != comp[j]) & (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j]))
+            i, j = i[ok], j[ok]
+            most = _most(n[i], sig[i], n[j], sig[j])
+            ok = den * most >= num * (n[i] + n[j] - most)
+            i, j, most = i[ok], j[ok], most[ok]
+            if len(i):
+                found.append((cls[i], cls[j], most / (n[i] + n[j] - most)))
+        if not found:
+            return
+        a, c, bound = (np.concatenate(x) for x in zip(*found, strict=True))
+        if best:
+            a, c, bound = np.concatenate([a, c]), np.concatenate([c, a]), np.concatenate([bound, bound])
+            order = np.lexsort((c, -bound, a))
+        else:
+            a, c = np.maximum(a, c), np.minimum(a, c)
+            order = np.lexsort((c, a))
+        a, c, bound = a[order], c[order], bound[order]
+        first = np.ones(len(a), bool)
+        first[1:] = (a[1:] != a[:-1]) | (not best) & (c[1:] != c[:-1])
+        yield pa.record_batch([pa.array(a[first]), pa.array(c[first]), pa.array(bound[first])], ["a", "b", "bound"])
 
     return run
 
 
+_PAIRS = "a long, b long, bound double"
+
+
 def _tiles(rows: DataFrame, num: int, den: int) -> DataFrame:
     """tile, side, cls, comp, n, sig: small keys are one tile; large ones are cut by size band and hash into blocks that meet in pairs."""
     size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("g"))
@@ -328,6 +390,38 @@ def _tiles(rows: DataFrame, num: int, den: int) -> DataFrame:
     return small.unionAll(cut)
 
 
+def _best(tiles: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b, bound: for each class a its partner of the highest bound."""
+    found = tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tile_pairs(num, den, True), _PAIRS)
+    top = found.groupBy("a").agg(F.max(F.struct("bound", "b")).alias("m"))
+    return top.select("a", "m.b", "m.bound")
+
+
+def _every(tiles: DataFrame, num: int, den: int) -> DataFrame:
+    return tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tile_pairs(num, den, False), _PAIRS)
+
+
+def _top(pairs: DataFrame) -> DataFrame:
+    """a and b, a > b: for each class of the pairs the partner of the highest bound."""
+    both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "bound"))
+    top = both.groupBy("a").agg(F.max(F.struct("bound", "b")).alias("m"))
+    return top.select(F.greatest("a", "m.b").alias("a"), F.least("a", "m.b").alias("b")).distinct()
+
+
+def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs whose classes are in two components."""
+    one, two = comps.select(F.col("node").alias("a"), F.col("root").alias("x")), comps.select(F.col("node").alias("b"), F.col("root").alias("y"))
+    placed = pairs.join(one, "a", "left").join(two, "b", "left")
+    return placed.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b", "bound")
+
+
+def _still_open(left: DataFrame, comps: DataFrame) -> DataFrame:
+    """The rows, with their components, of the keys that hold more than one component."""
+    placed = left.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
+    open_ = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    return materialize(placed.join(open_, "key", "left_semi"), "open")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """id_col, n_shingles, component_id for every row of docs.
 
@@ -345,23 +439,31 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     dealt = prefixes.repartition(F.when(F.col("hot"), F.col("cls")).otherwise(F.col("key"))).sortWithinPartitions("key", "cls")
     meet = materialize(dealt.mapInArrow(_shared_only, "key long, cls long"), "meet")
 
-    classes = materialize(meet.select("cls").distinct(), "classes")
-    sets = materialize(_fetch_sets(docs, classes, k, text_col), "sets")
-    # first each class with the one class that is the smallest of most of its tiles: most groups of copies close here
-    least = meet.groupBy("key").agg(F.min("cls").alias("to"))
-    shared = meet.join(least, "key").where("cls <> to").groupBy("cls", "to").agg(F.count(F.lit(1)).alias("c"))
-    first = shared.groupBy("cls").agg(F.max(F.struct("c", "to")).alias("m")).select(F.col("cls").alias("a"), F.col("m.to").alias("b"))
+    signed = found.where("kind = 0").join(meet.select(F.col("cls").alias("b")).distinct(), "b", "left_semi")
+    signed = materialize(signed.groupBy(F.col("b").alias("cls")).agg(F.first("n").alias("n"), F.first("sig").alias("sig")), "signatures")
+    large = materialize(meet.groupBy("key").agg(F.count(F.lit(1)).alias("g")).where(F.col("g") > SMALL).select("key"), "large-keys")
+    slim = meet.join(large, "key", "left_anti").join(signed.select("cls", "n"), "cls").select("key", "cls", "n")
+    small = slim.repartition("key").sortWithinPartitions("key").mapInArrow(_small_pairs(num, den), "a long, b long").distinct()
+    small = small.join(signed.withColumnRenamed("cls", "a"), "a").join(signed.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("sig").alias("sig2")), "b")
+    small = materialize(small.select("a", "b", "n", "sig", "m", "sig2").mapInArrow(_bounded(num, den), _PAIRS), "pairs")
+    big = materialize(meet.join(large, "key", "left_semi").join(signed, "cls"), "large")
+
+    # each class with its most promising partner first; a class without one that the bounds allow is done
+    first = materialize(_top(small.unionAll(_best(_tiles(big.withColumn("comp", F.col("cls")), num, den), num, den))), "pairs")
+    near = materialize(first.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "near")
+    sets = materialize(_fetch_sets(docs, near, k, text_col), "sets")
+    big = materialize(big.join(near, "cls", "left_semi"), "large")
     links = materialize(_verify(first, sets, num, den), "links")
-    comps = connected_components(links)
-
-    # then all that the tiles still hold between two components
-    placed = meet.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls")).drop("root")
-    placed = materialize(placed, "placed")
-    open_ = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    tiles = _tiles(placed.join(open_, "key", "left_semi").distinct().join(sets.drop("own"), "cls"), num, den)
-    pairs = tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tile_pairs(num, den), "a long, b long").distinct()
-    more = materialize(_verify(materialize(pairs, "pairs"), sets, num, den), "links")
-    comps = materialize(connected_components(links.unionAll(more)), "components")
+    comps = materialize(connected_components(links), "components")
+    for last in (False, True):  # partners in other components: once more the best of each class, then all
+        apart = _apart(small, comps)
+        tiles = _tiles(_still_open(big, comps), num, den)
+        pairs = apart.unionAll(_every(tiles, num, den)).select("a", "b").distinct() if last else _top(apart.unionAll(_best(tiles, num, den)))
+        more = materialize(_verify(materialize(pairs, "pairs"), sets, num, den), "links")
+        if more.isEmpty():
+            continue
+        links = links.unionAll(more)
+        comps = materialize(connected_components(links), "components")
 
     named = rows.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     lowest = named.where("n_shingles > 0").groupBy("root").agg(F.min(id_col).alias("low"))
