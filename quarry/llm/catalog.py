@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, linededup, shards, tokens
+from . import decontaminate, jaccard, langid, linededup, passages, shards, tokens, topk, urlfilter
 from .oracles import ORACLES
 
 TOKEN_LIMIT = 1024
@@ -17,6 +17,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The rules of the URL contract.
+RULES = [
+    urlfilter.rule("block", "com/en/"),
+    urlfilter.rule("allow", "example.com/en/7"),
+    urlfilter.rule("allow", "net/de/"),
+    urlfilter.rule("block", "example.net/de/8"),
+    urlfilter.rule("block", "org/es/"),
+]
+
+
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.whole_vectors(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return topk.exact_top_k(vectors, F.col("id") % 20 == 0, 20)
+
+
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = urlfilter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
@@ -56,8 +80,14 @@ def op10_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
