@@ -6,10 +6,10 @@ from .registry import Catalog
 
 
 def catalog() -> Catalog:
-    from . import aggregates, benchmarks, extended, functions, joins, scans
+    from . import aggregates, benchmarks, extended, functions, joins, more, scans
 
     out = Catalog()
-    for m in (benchmarks, scans, joins, aggregates, functions, extended):
+    for m in (benchmarks, scans, joins, aggregates, functions, more, extended):
         twice = out.keys() & m.C.keys()
         assert not twice, twice
         out.update(m.C)
