@@ -59,7 +59,7 @@ def _need(n, num: int, den: int):
 
 
 def profile(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """kind 0: a = id, b = class, n = set size, sig = bitmap signature. kind 1: a shingle a that n texts of one gathering hold, n > 1."""
+    """kind 0: a = id, b = class, n = set size, sig = bitmap signature, wide = a longer one for larger sets. kind 1: a shingle a that n texts of one gathering hold, n > 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -72,7 +72,7 @@ def profile(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
                     held.append(s)
                     size += len(s)
             n = len(b)
-            yield _profile_rows(0, b.column(0).cast(pa.int64()), pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_signature(s) for s in sets], pa.binary()), n)
+            yield _profile_rows(0, b.column(0).cast(pa.int64()), pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([_signature(s) for s in sets], pa.binary()), pa.array([_signature(s, _width(len(s))) if len(s) > BITS else None for s in sets], pa.binary()), n)
             if size >= GATHER:
                 yield _repeated(held)
                 held, size = [], 0
@@ -80,17 +80,17 @@ def profile(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
             yield _repeated(held)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "kind int, a long, b long, n long, sig binary")
+    return rows.mapInArrow(run, "kind int, a long, b long, n long, sig binary, wide binary")
 
 
-def _profile_rows(kind: int, a: pa.Array, b: pa.Array, n: pa.Array, sig: pa.Array, rows: int) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(np.full(rows, kind, np.int32)), a, b, n, sig], ["kind", "a", "b", "n", "sig"])
+def _profile_rows(kind: int, a: pa.Array, b: pa.Array, n: pa.Array, sig: pa.Array, wide: pa.Array, rows: int) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(np.full(rows, kind, np.int32)), a, b, n, sig, wide], ["kind", "a", "b", "n", "sig", "wide"])
 
 
 def _repeated(held: list[np.ndarray]) -> pa.RecordBatch:
     u, c = np.unique(np.concatenate(held), return_counts=True)
     u, c = u[c > 1], c[c > 1]
-    return _profile_rows(1, pa.array(_signed(u)), pa.array(np.zeros(len(u), np.int64)), pa.array(c), pa.nulls(len(u), pa.binary()), len(u))
+    return _profile_rows(1, pa.array(_signed(u)), pa.array(np.zeros(len(u), np.int64)), pa.array(c), pa.nulls(len(u), pa.binary()), pa.nulls(len(u), pa.binary()), len(u))
 
 
 def _frequent(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -194,12 +194,24 @@ def class_filter(classes: DataFrame, count: int) -> np.ndarray:
     return out
 
 
-def _signature(s: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, bool)
-    bits[(s >> np.uint64(20)) % np.uint64(BITS)] = True
+def _signature(s: np.ndarray, width: int = BITS) -> bytes:
+    bits = np.zeros(width, bool)
+    bits[(s >> np.uint64(20)) % np.uint64(width)] = True
     return np.packbits(bits).tobytes()
 
 
+def _width(n: int) -> int:
+    """Bits for a set of n: a power of two, so that a signature folds to any shorter one, and n at least."""
+    return max(BITS, 1 << (n - 1).bit_length())
+
+
+def _matrix(column: pa.Array, rows: np.ndarray, size: int, to: int) -> np.ndarray:
+    """Signatures of `size` bytes in these rows, folded to `to` bytes."""
+    data, at = binary_view(column)
+    own = data[at[rows][:, None] + np.arange(size)]
+    return np.ascontiguousarray(np.bitwise_or.reduce(own.reshape(len(rows), size // to, to), 1)).view(np.uint64)
+
+
 def _fetch_sets(docs: DataFrame, classes: DataFrame, k: int, text_col: str) -> DataFrame:
     """cls and own (the sorted set as bytes) of the classes wanted."""
     held = docs.sparkSession.sparkContext.broadcast(class_filter(classes, classes.count()))
@@ -287,8 +299,12 @@ def _bounded(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, m = b.column(2).to_numpy(), b.column(4).to_numpy()
-            x, y = (binary_view(b.column(i))[0].view(np.uint64).reshape(len(b), -1) for i in (3, 5))
-            most = _most(n, x, m, y)
+            p, q = (np.diff(binary_view(b.column(i))[1]) for i in (3, 5))
+            most = np.zeros(len(b), np.int64)
+            for u, v in {*zip(p.tolist(), q.tolist(), strict=True)}:
+                own = np.flatnonzero((p == u) & (q == v))
+                x, y = _matrix(b.column(3), own, u, min(u, v)), _matrix(b.column(5), own, v, min(u, v))
+                most[own] = _most(n[own], x, m[own], y)
             ok = pa.array(den * most >= num * (n + m - most))
             yield pa.record_batch([b.column(0).filter(ok), b.column(1).filter(ok), pa.array(most / (n + m - most)).filter(ok)], ["a", "b", "bound"])
 
@@ -363,12 +379,10 @@ _PAIRS = "a long, b long, bound double"
 
 
 def _tiles(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """tile, side, cls, comp, n, sig: small keys are one tile; large ones are cut by size band and hash into blocks that meet in pairs."""
-    size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("g"))
-    sized = rows.join(size, "key")
-    small = sized.where(F.col("g") <= BLOCK).select(F.col("key").alias("tile"), F.lit(0).alias("side"), "cls", "comp", "n", "sig")
+    """tile, side, cls, comp, n, sig, from rows with g, the classes of their key: small keys are one tile; large ones are cut by size band and hash into blocks that meet in pairs."""
+    small = rows.where(F.col("g") <= BLOCK).select(F.col("key").alias("tile"), F.lit(0).alias("side"), "cls", "comp", "n", "sig")
     band = F.floor(F.log("n") / np.log(den / num)).cast("int")
-    large = sized.where(F.col("g") > BLOCK).withColumn("band", band)
+    large = rows.where(F.col("g") > BLOCK).withColumn("band", band)
     bands = large.groupBy("key", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     own = large.join(bands, ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     above = bands.select("key", (F.col("band") - 1).alias("band"), F.col("blocks").alias("up"))
@@ -440,13 +454,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     meet = materialize(dealt.mapInArrow(_shared_only, "key long, cls long"), "meet")
 
     signed = found.where("kind = 0").join(meet.select(F.col("cls").alias("b")).distinct(), "b", "left_semi")
-    signed = materialize(signed.groupBy(F.col("b").alias("cls")).agg(F.first("n").alias("n"), F.first("sig").alias("sig")), "signatures")
-    large = materialize(meet.groupBy("key").agg(F.count(F.lit(1)).alias("g")).where(F.col("g") > SMALL).select("key"), "large-keys")
+    signed = materialize(signed.groupBy(F.col("b").alias("cls")).agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("wide").alias("wide")), "signatures")
+    wide, signed = signed.select("cls", "n", F.coalesce("wide", "sig").alias("sig")), signed.drop("wide")
+    large = materialize(meet.groupBy("key").agg(F.count(F.lit(1)).alias("g")).where(F.col("g") > SMALL), "large-keys")
     slim = meet.join(large, "key", "left_anti").join(signed.select("cls", "n"), "cls").select("key", "cls", "n")
     small = slim.repartition("key").sortWithinPartitions("key").mapInArrow(_small_pairs(num, den), "a long, b long").distinct()
-    small = small.join(signed.withColumnRenamed("cls", "a"), "a").join(signed.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("sig").alias("sig2")), "b")
+    small = small.join(wide.withColumnRenamed("cls", "a"), "a").join(wide.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("sig").alias("sig2")), "b")
     small = materialize(small.select("a", "b", "n", "sig", "m", "sig2").mapInArrow(_bounded(num, den), _PAIRS), "pairs")
-    big = materialize(meet.join(large, "key", "left_semi").join(signed, "cls"), "large")
+    big = materialize(meet.join(large, "key").join(signed, "cls"), "large")
 
     # each class with its most promising partner first; a class without one that the bounds allow is done
     first = materialize(_top(small.unionAll(_best(_tiles(big.withColumn("comp", F.col("cls")), num, den), num, den))), "pairs")
