@@ -220,12 +220,14 @@ def judge(pages: DataFrame, rules: list[Rule], url_col: str = "url", model: Tree
     if model is None:
         label = F.when(decided == "block", 1).otherwise(0).alias("label")
         model = fit(out.where(F.col("rule").isNotNull()).select(F.col(url_col).alias("url"), "host", "path", label))
+    # features first, then bins, as columns of their own: the trees name a bin many times, and a bin its feature
     values = [*features(F.col(url_col), F.col("host"), F.col("path")).values(), model.suffix_rate(F.col("host"))]
-    names = [f"_uf_{i}" for i in range(len(values))]
-    out = out.withColumns(dict(zip(names, model.bins(values), strict=True)))
+    raw, names = ([f"_uf_{kind}_{i}" for i in range(len(values))] for kind in ("raw", "bin"))
+    out = out.withColumns(dict(zip(raw, values, strict=True)))
+    out = out.withColumns(dict(zip(names, model.bins([F.col(n) for n in raw]), strict=True)))
     margin = model.margin([F.col(n) for n in names])
     out = out.withColumn("score", F.when(F.col("rule").isNull(), 1 / (1 + F.exp(-margin))))
     by_trees = F.when(F.col("score") > 0.5, "block").otherwise("allow") if model.trees else F.lit("block" if model.base > 0 else "allow")
-    return out.withColumn("verdict", F.coalesce(decided, by_trees)).drop(*names)
+    return out.withColumn("verdict", F.coalesce(decided, by_trees)).drop(*raw, *names)
 
 
