@@ -225,3 +225,31 @@ def test_chain_prefers_collinear_matches():
     b = [0, 10, 20, 30, 40, 500]
     best = passages.chain(a, b)[0]
     assert best == [0, 1, 2, 3, 4]
+
+
+def test_fuzzy_passages_are_found(spark):
+    """Passages with up to a fifth of their words changed, against every span of the planted place that has a seed and passes."""
+    rng = random.Random(12)
+    rows, want = [], set()
+    for i in range(0, 240, 2):
+        p = words(rng, 50 + i % 3 * 15, 10**6)
+        q = [f"c{rng.randrange(10**9)}" if rng.random() < (0.1, 0.13, 0.16)[i // 2 % 3] else w for w in p]
+        ok = [a == b for a, b in zip(p, q, strict=True)]
+        seeds = [j for j in range(len(ok) - 5) if all(ok[j : j + 6])]
+        if any(ok[lo] and ok[hi - 1] and sum(ok[lo:hi]) >= 0.8 * (hi - lo) for lo in range(len(ok)) for hi in range(lo + 50, len(ok) + 1) if any(lo <= j <= hi - 6 for j in seeds)):
+            want.add((i, i + 1))
+        rows += [(i, " ".join(words(rng, 40, 10**6) + ["e"] + p + words(rng, 90, 10**6))), (i + 1, " ".join(words(rng, 70, 10**6) + q + words(rng, 30, 10**6)))]
+    got = {tuple(sorted((r.doc_id, r.other_id))) for r in passages.repeated_passages(frame(spark, rows).repartition(4)).collect()}
+    assert len(want) > 90 and got <= want
+    assert len(got) >= 0.98 * len(want), f"{len(got)} of {len(want)}"
+
+
+def test_passage_whose_beginning_a_third_text_has(spark):
+    """55 words in two texts, the first 45 of them in a third one: the two are found whichever text comes first."""
+    rng = random.Random(13)
+    rows = []
+    for i in range(0, 120, 3):
+        p = words(rng, 55, 10**6)
+        rows += [(i + j, " ".join(words(rng, 30, 10**6) + (p if j else p[:45]) + words(rng, 30, 10**6))) for j in range(3)]
+    got = {tuple(sorted((r.doc_id, r.other_id))) for r in passages.repeated_passages(frame(spark, rows).repartition(4)).collect()}
+    assert got == {(i + 1, i + 2) for i in range(0, 120, 3)}
