@@ -23,6 +23,8 @@ C.sql("join_theta", "SELECT c_custkey, o_orderkey FROM {customer} JOIN {orders}
 C.sql("join_self", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 C.sql("join_null_safe", "SELECT a.doc_id AS a, b.doc_id AS b FROM (SELECT doc_id, lang FROM {documents} WHERE doc_id < 40) a JOIN (SELECT doc_id, lang FROM {documents} WHERE doc_id BETWEEN 40 AND 60) b ON a.lang <=> b.lang",
       "SELECT a.doc_id AS a, b.doc_id AS b FROM (SELECT doc_id, lang FROM {documents} WHERE doc_id < 40) a JOIN (SELECT doc_id, lang FROM {documents} WHERE doc_id BETWEEN 40 AND 60) b ON a.lang IS NOT DISTINCT FROM b.lang")
+C.sql("join_null_safe_whole", "SELECT a.lang, a.n, b.n AS m FROM (SELECT nullif(lang, 'de') AS lang, count(*) AS n FROM {documents} GROUP BY 1) a JOIN (SELECT nullif(lang, 'fr') AS lang, count(DISTINCT source) AS n FROM {documents} GROUP BY 1) b ON a.lang <=> b.lang",
+      "SELECT a.lang, a.n, b.n AS m FROM (SELECT nullif(lang, 'de') AS lang, count(*) AS n FROM {documents} GROUP BY 1) a JOIN (SELECT nullif(lang, 'fr') AS lang, count(DISTINCT source) AS n FROM {documents} GROUP BY 1) b ON a.lang IS NOT DISTINCT FROM b.lang")
 C.sql("join_star", """SELECT r_name, p_brand, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM {lineitem}
   JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {part} ON l_partkey = p_partkey
   JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey GROUP BY r_name, p_brand""")

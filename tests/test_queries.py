@@ -29,3 +29,12 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_null_safe_join_reads_all_documents(spark):
+    """Nulls of both sides meet, and no document is left out."""
+    d = SF.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    got = CATALOG["join_null_safe_whole"].build(spark, d).collect()
+    assert sum(r.n for r in got) == docs.where("lang IS NULL OR lang <> 'fr'").count() > 61
+    assert [r.n for r in got if r.lang is None] == [docs.where("lang IS NULL OR lang = 'de'").count()]
