@@ -152,3 +152,10 @@ def _(spark, d):
   LEFT JOIN events e ON e.user_id = g.user_id AND date_trunc('day', e.ts) = g.day GROUP BY g.user_id, g.day""")
 def _(spark, d):
     return W.daily_counts(table(spark, d, "events").where("user_id < 20"), "user_id", "ts")
+
+
+@C.frame("win_gap_fill_whole", """WITH b AS (SELECT user_id, min(date_trunc('day', ts)) AS lo, max(date_trunc('day', ts)) AS hi FROM events GROUP BY user_id),
+  g AS (SELECT user_id, unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS day FROM b) SELECT g.user_id, CAST(g.day AS DATE) AS day, count(event_id) AS n FROM g
+  LEFT JOIN events e ON e.user_id = g.user_id AND date_trunc('day', e.ts) = g.day GROUP BY g.user_id, g.day""")
+def _(spark, d):
+    return W.daily_counts(table(spark, d, "events"), "user_id", "ts")

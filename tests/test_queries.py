@@ -38,3 +38,11 @@ def test_null_safe_join_reads_all_documents(spark):
     got = CATALOG["join_null_safe_whole"].build(spark, d).collect()
     assert sum(r.n for r in got) == docs.where("lang IS NULL OR lang <> 'fr'").count() > 61
     assert [r.n for r in got if r.lang is None] == [docs.where("lang IS NULL OR lang = 'de'").count()]
+
+
+def test_gap_fill_reads_all_users(spark):
+    d = SF.replace("sf0.001", "sf0.01")
+    events = spark.read.parquet(f"{d}/events.parquet")
+    got = CATALOG["win_gap_fill_whole"].build(spark, d).toPandas()
+    assert set(got.user_id) == {r.user_id for r in events.select("user_id").distinct().collect()} and max(got.user_id) >= 20
+    assert got.n.sum() == events.where("ts IS NOT NULL").count()
