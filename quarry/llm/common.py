@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,7 +12,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+#: Path of each intermediate table of this process -> the session that wrote it.
+_written: dict[str, SparkSession] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,29 +35,56 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+@contextlib.contextmanager
+def _conf(spark: SparkSession, **values: str) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def materialize(df: DataFrame, tag: str, rows_a_batch: int | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
-    This cuts the lineage: a lost executor costs only the tasks that read the table.
-    Tables are removed when the driver's process ends, as the frames that come back are lazy.
+    This cuts the lineage: a lost executor costs only the tasks that read the table. The shuffle
+    files of the step go as soon as it is written. The table stays until `discard`, or else until
+    the driver's process ends, as the frame that comes back is lazy.
+    rows_a_batch: rows of an Arrow batch, where rows are long.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarry-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    spark.sparkContext._jvm.System.gc()  # else the shuffle files of finished steps stay on the executors' disks
-    return spark.read.schema(df.schema).parquet(path)
+    how = {_CLEANUP: "true"} | ({_BATCH: str(rows_a_batch)} if rows_a_batch else {})
+    with _conf(spark, **how):
+        df.write.parquet(path)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quarry_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables behind frames that `materialize` gave back, once all that reads them has been written."""
+    for f in frames:
+        _delete(f._quarry_path)
+
+
+def _delete(path: str) -> None:
+    spark = _written.pop(path, None)
+    if spark is not None:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 @atexit.register
 def release() -> None:
-    """Delete the intermediate tables written so far."""
-    while _written:
-        spark, path = _written.pop()
+    """Delete the intermediate tables that are left."""
+    for path in list(_written):
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(path)
         except Exception:  # the session has ended: the folder's owner cleans it
             return
 
