@@ -210,9 +210,8 @@ def test_passages_are_found(spark):
     assert sorted((r.doc_id, r.other_id) for r in got if r.relation == "copy") == [(1000 + j, 1000) for j in range(1, 5)]
 
 
-def test_passage_in_many_documents(spark, monkeypatch):
+def test_passage_in_many_documents(spark):
     """A passage that very many share gives a star, not all pairs."""
-    monkeypatch.setattr(passages, "LOCAL", 4)
     rng = random.Random(9)
     p = words(rng, 80, 10**6)
     rows = [(i, " ".join(words(rng, 60, 10**6) + p + words(rng, 60, 10**6))) for i in range(50)]
@@ -253,3 +252,75 @@ def test_passage_whose_beginning_a_third_text_has(spark):
         rows += [(i + j, " ".join(words(rng, 30, 10**6) + (p if j else p[:45]) + words(rng, 30, 10**6))) for j in range(3)]
     got = {tuple(sorted((r.doc_id, r.other_id))) for r in passages.repeated_passages(frame(spark, rows).repartition(4)).collect()}
     assert got == {(i + 1, i + 2) for i in range(0, 120, 3)}
+
+
+def pairs_of(got):
+    return {tuple(sorted((r.doc_id, r.other_id))) for r in got if r.relation == "passage"}
+
+
+def test_passages_among_decoys(spark):
+    """Two texts share 60 words, and 40 others each have 18 to 40 of them: the two are found, whatever the decoys' classes."""
+    rng = random.Random(14)
+    rows, want = [], set()
+    for i in range(0, 1000, 50):
+        p = words(rng, 60, 10**6)
+        rows += [(i + j, " ".join(words(rng, 30, 10**6) + p + words(rng, 30, 10**6))) for j in range(2)]
+        want.add((i, i + 1))
+        for j in range(2, 42):
+            n = rng.randrange(18, 41)
+            at = rng.randrange(0, 61 - n)
+            rows.append((i + j, " ".join(words(rng, 40, 10**6) + p[at : at + n] + words(rng, 40, 10**6))))
+    rng.shuffle(rows)
+    assert pairs_of(passages.repeated_passages(frame(spark, rows).repartition(4)).collect()) == want
+
+
+def test_passages_do_not_depend_on_partitions(spark):
+    """Very long, self-repeating, copied and boilerplate-ridden texts: the same rows from 1, 3 and 20 partitions."""
+    rng = random.Random(15)
+    line = words(rng, 20, 10**6)
+    rows = [(i, " ".join(words(rng, 40, 10**6) + line + words(rng, 40, 10**6))) for i in range(60)]
+    p = words(rng, 70, 10**6)
+    rows += [(100 + i, " ".join(line + words(rng, 30, 10**6) + p + line)) for i in range(40)]
+    rows += [(200 + i, "again and " * 500) for i in range(2)] + [(210, "again and " * 400), (211, " ".join(words(rng, 20_000, 10**6) + p))]
+    rows += [rows[60], (None, rows[61][1])]
+    runs = [sorted(map(tuple, passages.repeated_passages(frame(spark, rows).repartition(n)).collect()), key=repr) for n in (1, 3, 20)]
+    assert runs[0] == runs[1] == runs[2]
+    linked = {r[0] for r in runs[0]} | {r[3] for r in runs[0]}
+    assert linked >= {*range(100, 140), 211, 200, 201, 210} and not linked & set(range(60))
+
+
+def test_passages_against_all_pairs(spark):
+    """300 texts from a small stock of sentences: each pair with 50 words in a row in common, by plain comparison, is linked through passages."""
+    rng = random.Random(16)
+    stock = [words(rng, rng.randrange(8, 30), 10**6) for _ in range(60)]
+    texts = [sum((rng.choice(stock) for _ in range(rng.randrange(4, 12))), []) for _ in range(300)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    holders: dict[tuple, set] = {}
+    for i, t in enumerate(texts):
+        for j in range(len(t) - 49):
+            holders.setdefault(tuple(t[j : j + 50]), set()).add(i)
+    got = passages.repeated_passages(frame(spark, rows).repartition(4)).collect()
+    up = list(range(300))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for r in got:
+        up[find(r.doc_id)] = find(r.other_id)
+    shared = [own for own in holders.values() if len(own) > 1]
+    assert len(shared) > 50 and all(len({find(i) for i in own}) == 1 for own in shared)
+    exact = {(i, j) for own in shared for i in own for j in own if i < j}
+    found = pairs_of(got)
+    assert len(found & exact) >= 0.98 * len(exact)
+    for r in got:  # what is reported is a passage indeed
+        x, y = texts[r.doc_id][r.start_word : r.end_word], texts[r.other_id][r.other_start : r.other_end]
+        assert min(len(x), len(y)) >= 50 and r.identity >= 0.8 and len(set(x) & set(y)) >= 0.5 * len(set(x))
+
+
+def test_passages_with_clashing_columns(spark):
+    rng = random.Random(17)
+    p = " ".join(words(rng, 60, 10**6))
+    out = passages.repeated_passages(spark.createDataFrame([(1, "x " + p, 5, "a"), (2, "y " + p, 6, "b")], "doc_id long, text string, cls int, own string"))
+    assert pairs_of(out.collect()) == {(1, 2)}
