@@ -18,17 +18,17 @@ C.sql("tpch_q01", f"""SELECT l_returnflag, l_linestatus, round(sum(l_quantity),
 C.sql("tpch_q02", f"""SELECT s_acctbal, s_name, n_name, p_partkey FROM {{part}}, {{supplier}}, {_PS} ps, {{nation}}, {{region}} WHERE p_partkey = ps_partkey AND s_suppkey = ps_suppkey AND p_size < 15 AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_regionkey = 1
   AND ps_supplycost = (SELECT min(i.ps_supplycost) FROM {_PS} i, {{supplier}} s2, {{nation}} n2 WHERE p_partkey = i.ps_partkey AND s2.s_suppkey = i.ps_suppkey AND s2.s_nationkey = n2.n_nationkey AND n2.n_regionkey = 1)""")
 C.sql("tpch_q03", f"SELECT l_orderkey, round(sum({_REV}), 2) AS revenue, o_orderdate FROM {{customer}}, {{orders}}, {{lineitem}} WHERE c_mktsegment = 'BUILDING' AND c_custkey = o_custkey AND l_orderkey = o_orderkey AND o_orderdate < DATE '1995-03-15' AND l_shipdate > DATE '1995-03-15' GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, o_orderdate, l_orderkey LIMIT 10")
-C.sql("tpch_q04", "SELECT o_orderpriority, count(*) AS order_count FROM {orders} WHERE o_orderdate >= DATE '1993-07-01' AND o_orderdate < DATE '1993-10-01' AND EXISTS (SELECT 1 FROM {lineitem} WHERE l_orderkey = o_orderkey AND l_shipdate > o_orderdate) GROUP BY o_orderpriority")
+C.sql("tpch_q04", "SELECT o_orderpriority, count(*) AS order_count FROM {orders} WHERE o_orderdate >= DATE '1997-07-01' AND o_orderdate < DATE '1997-10-01' AND EXISTS (SELECT 1 FROM {lineitem} WHERE l_orderkey = o_orderkey AND l_shipdate > o_orderdate) GROUP BY o_orderpriority")
 C.sql("tpch_q05", f"SELECT n_name, round(sum({_REV}), 2) AS revenue FROM {{customer}}, {{orders}}, {{lineitem}}, {{supplier}}, {{nation}}, {{region}} WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_suppkey = s_suppkey AND c_nationkey = s_nationkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_regionkey < 3 GROUP BY n_name")
-C.sql("tpch_q06", "SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM {lineitem} WHERE l_shipdate >= DATE '1994-01-01' AND l_shipdate < DATE '1995-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24")
+C.sql("tpch_q06", "SELECT round(sum(l_extendedprice * l_discount), 2) AS revenue FROM {lineitem} WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1997-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24")
 C.sql("tpch_q07", f"""SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, CAST(year(l_shipdate) AS BIGINT) AS l_year, round(sum({_REV}), 0) AS revenue FROM {{supplier}}, {{lineitem}}, {{orders}}, {{customer}}, {{nation}} n1, {{nation}} n2
   WHERE s_suppkey = l_suppkey AND o_orderkey = l_orderkey AND c_custkey = o_custkey AND s_nationkey = n1.n_nationkey AND c_nationkey = n2.n_nationkey AND ((n1.n_nationkey < 5 AND n2.n_nationkey >= 20) OR (n1.n_nationkey >= 20 AND n2.n_nationkey < 5)) GROUP BY 1, 2, 3""")
 C.sql("tpch_q08", f"""SELECT o_year, round(sum(CASE WHEN nation = 'NATION_2' THEN volume ELSE 0 END) / sum(volume), 6) AS mkt_share FROM (SELECT CAST(year(o_orderdate) AS BIGINT) AS o_year, {_REV} AS volume, n2.n_name AS nation FROM {{part}}, {{supplier}}, {{lineitem}}, {{orders}}, {{customer}}, {{nation}} n1, {{nation}} n2, {{region}}
   WHERE p_partkey = l_partkey AND s_suppkey = l_suppkey AND l_orderkey = o_orderkey AND o_custkey = c_custkey AND c_nationkey = n1.n_nationkey AND n1.n_regionkey = r_regionkey AND s_nationkey = n2.n_nationkey AND p_size > 25) GROUP BY o_year""")
-C.sql("tpch_q09", f"SELECT n_name AS nation, CAST(year(o_orderdate) AS BIGINT) AS o_year, round(sum({_REV} - ps_supplycost * l_quantity), 0) AS profit FROM {{part}}, {{supplier}}, {{lineitem}}, {_PS} ps, {{orders}}, {{nation}} WHERE s_suppkey = l_suppkey AND ps_suppkey = l_suppkey AND ps_partkey = l_partkey AND p_partkey = l_partkey AND o_orderkey = l_orderkey AND s_nationkey = n_nationkey AND p_name LIKE '%1%' GROUP BY 1, 2")
-C.sql("tpch_q10", f"SELECT c_custkey, c_name, round(sum({_REV}), 2) AS revenue, c_acctbal, n_name FROM {{customer}}, {{orders}}, {{lineitem}}, {{nation}} WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND o_orderdate >= DATE '1993-10-01' AND o_orderdate < DATE '1994-01-01' AND l_returnflag = 'R' AND c_nationkey = n_nationkey GROUP BY c_custkey, c_name, c_acctbal, n_name ORDER BY revenue DESC, c_custkey LIMIT 20")
+C.sql("tpch_q09", f"SELECT n_name AS nation, CAST(year(o_orderdate) AS BIGINT) AS o_year, round(sum({_REV} - ps_supplycost * l_quantity), 0) AS profit FROM {{part}}, {{supplier}}, {{lineitem}}, {_PS} ps, {{orders}}, {{nation}} WHERE s_suppkey = l_suppkey AND ps_suppkey = l_suppkey AND ps_partkey = l_partkey AND p_partkey = l_partkey AND o_orderkey = l_orderkey AND s_nationkey = n_nationkey AND p_name LIKE '%red%' GROUP BY 1, 2")
+C.sql("tpch_q10", f"SELECT c_custkey, c_name, round(sum({_REV}), 2) AS revenue, c_acctbal, n_name FROM {{customer}}, {{orders}}, {{lineitem}}, {{nation}} WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND o_orderdate >= DATE '1997-10-01' AND o_orderdate < DATE '1998-01-01' AND l_returnflag = 'R' AND c_nationkey = n_nationkey GROUP BY c_custkey, c_name, c_acctbal, n_name ORDER BY revenue DESC, c_custkey LIMIT 20")
 C.sql("tpch_q11", f"SELECT ps_partkey, round(sum(ps_supplycost * ps_availqty), 1) AS val FROM {_PS} ps, {{supplier}}, {{nation}} WHERE ps_suppkey = s_suppkey AND s_nationkey = n_nationkey AND n_regionkey = 2 GROUP BY ps_partkey HAVING sum(ps_supplycost * ps_availqty) > (SELECT sum(ps_supplycost * ps_availqty) * 0.001 FROM {_PS} p2, {{supplier}}, {{nation}} WHERE ps_suppkey = s_suppkey AND s_nationkey = n_nationkey AND n_regionkey = 2)")
-C.sql("tpch_q12", "SELECT l_linestatus, CAST(sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS BIGINT) AS high, CAST(sum(CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS BIGINT) AS low FROM {orders}, {lineitem} WHERE o_orderkey = l_orderkey AND l_shipdate >= DATE '1994-01-01' AND l_shipdate < DATE '1995-01-01' GROUP BY l_linestatus")
+C.sql("tpch_q12", "SELECT l_linestatus, CAST(sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS BIGINT) AS high, CAST(sum(CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END) AS BIGINT) AS low FROM {orders}, {lineitem} WHERE o_orderkey = l_orderkey AND l_shipdate >= DATE '1997-01-01' AND l_shipdate < DATE '1998-01-01' GROUP BY l_linestatus")
 C.sql("tpch_q13", "SELECT c_count, count(*) AS custdist FROM (SELECT c_custkey, count(o_orderkey) AS c_count FROM {customer} LEFT JOIN {orders} ON c_custkey = o_custkey AND o_orderpriority NOT LIKE '%LOW%' GROUP BY c_custkey) GROUP BY c_count")
 C.sql("tpch_q14", f"SELECT round(100.0 * sum(CASE WHEN p_type LIKE 'PROMO%' THEN {_REV} ELSE 0 END) / sum({_REV}), 4) AS promo FROM {{lineitem}}, {{part}} WHERE l_partkey = p_partkey AND l_shipdate >= DATE '1995-09-01' AND l_shipdate < DATE '1995-12-01'")
 C.sql("tpch_q15", f"WITH revenue AS (SELECT l_suppkey AS supplier_no, round(sum({_REV}), 2) AS total FROM {{lineitem}} WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1996-04-01' GROUP BY l_suppkey) SELECT s_suppkey, s_name, total FROM {{supplier}}, revenue WHERE s_suppkey = supplier_no AND total = (SELECT max(total) FROM revenue)")
@@ -36,7 +36,7 @@ C.sql("tpch_q16", f"SELECT p_brand, p_type, p_size, count(DISTINCT ps_suppkey) A
 C.sql("tpch_q17", "SELECT round(sum(l_extendedprice) / 7.0, 2) AS avg_yearly FROM {lineitem}, {part} WHERE p_partkey = l_partkey AND p_size < 20 AND l_quantity < (SELECT 0.2 * avg(l_quantity) FROM {lineitem} WHERE l_partkey = p_partkey)")
 C.sql("tpch_q18", "SELECT c_name, c_custkey, o_orderkey, o_orderdate, o_totalprice, round(sum(l_quantity), 2) AS q FROM {customer}, {orders}, {lineitem} WHERE o_orderkey IN (SELECT l_orderkey FROM {lineitem} GROUP BY l_orderkey HAVING sum(l_quantity) > 200) AND c_custkey = o_custkey AND o_orderkey = l_orderkey GROUP BY c_name, c_custkey, o_orderkey, o_orderdate, o_totalprice ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
 C.sql("tpch_q19", f"SELECT round(sum({_REV}), 2) AS revenue FROM {{lineitem}}, {{part}} WHERE p_partkey = l_partkey AND ((p_size BETWEEN 1 AND 5 AND l_quantity BETWEEN 1 AND 11) OR (p_size BETWEEN 1 AND 10 AND l_quantity BETWEEN 10 AND 20) OR (p_size BETWEEN 1 AND 15 AND l_quantity BETWEEN 20 AND 30))")
-C.sql("tpch_q20", f"SELECT s_name FROM {{supplier}}, {{nation}} WHERE s_suppkey IN (SELECT ps_suppkey FROM {_PS} ps WHERE ps_partkey IN (SELECT p_partkey FROM {{part}} WHERE p_name LIKE '%2%') AND ps_availqty > (SELECT 0.5 * sum(l_quantity) FROM {{lineitem}} WHERE l_partkey = ps_partkey AND l_suppkey = ps_suppkey AND l_shipdate >= DATE '1994-01-01')) AND s_nationkey = n_nationkey AND n_regionkey = 3")
+C.sql("tpch_q20", f"SELECT s_name FROM {{supplier}}, {{nation}} WHERE s_suppkey IN (SELECT ps_suppkey FROM {_PS} ps WHERE ps_partkey IN (SELECT p_partkey FROM {{part}} WHERE p_name LIKE '%ring%') AND ps_availqty > (SELECT 0.5 * sum(l_quantity) FROM {{lineitem}} WHERE l_partkey = ps_partkey AND l_suppkey = ps_suppkey AND l_shipdate >= DATE '1998-01-01')) AND s_nationkey = n_nationkey AND n_regionkey = 3")
 C.sql("tpch_q21", "SELECT s_name, count(*) AS numwait FROM {supplier}, {lineitem} l1, {orders} WHERE s_suppkey = l1.l_suppkey AND o_orderkey = l1.l_orderkey AND o_orderstatus = 'F' AND l1.l_returnflag = 'R' AND EXISTS (SELECT 1 FROM {lineitem} l2 WHERE l2.l_orderkey = l1.l_orderkey AND l2.l_suppkey <> l1.l_suppkey) AND NOT EXISTS (SELECT 1 FROM {lineitem} l3 WHERE l3.l_orderkey = l1.l_orderkey AND l3.l_suppkey <> l1.l_suppkey AND l3.l_returnflag = 'R') GROUP BY s_name")
 C.sql("tpch_q22", "SELECT cntry, count(*) AS numcust, round(sum(c_acctbal), 2) AS total FROM (SELECT substring(CAST(c_nationkey + 10 AS STRING) FROM 1 FOR 2) AS cntry, c_acctbal FROM {customer} WHERE c_nationkey IN (1, 3, 5, 7, 9) AND c_acctbal > (SELECT avg(c_acctbal) FROM {customer} WHERE c_acctbal > 0) AND NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 200000)) GROUP BY cntry")
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import dialect, udfs
+from ..session import shared_folder
 from ..streaming import pipelines as S
 from .registry import Catalog, bind, table
 
@@ -45,10 +46,10 @@ def _(spark, d):
     return out.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
-@C.frame("stream_dedup_watermark", "SELECT count(DISTINCT event_id) AS n FROM events")
-def _(spark, d):
-    out = S.run_to_memory(S.deduplicated(S.file_stream(spark, d, "events", "ts"), ["event_id"], "ts", "60 days"))
-    return out.agg(F.count("*").alias("n"))
+@C.frame("stream_dedup_watermark", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1, 2")
+def _(spark, d):  # all events of a type and user lie within the 60 days, so one of each is left
+    out = S.run_to_memory(S.deduplicated(S.file_stream(spark, d, "events", "ts"), ["user_id", "event_type"], "ts", "60 days"))
+    return out.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
 @C.frame("stream_static_join", "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
@@ -150,12 +151,12 @@ def _(spark, d):
     return spark.sql("SELECT IDENTIFIER(:c), n_nationkey FROM IDENTIFIER(:t)", args={"c": "n_name", "t": "nation_view"})
 
 
-@C.frame("sql_variables", "SELECT n_name FROM nation WHERE n_regionkey = 3")
+@C.frame("sql_variables", "SELECT n_name, 3 AS wanted FROM nation WHERE n_regionkey = 3")
 def _(spark, d):
-    spark.sql("DECLARE OR REPLACE VARIABLE wanted INT DEFAULT 1")
-    spark.sql("SET VAR wanted = 3")
-    value = spark.sql("SELECT wanted").first()[0]  # variables are read when the plan runs; a literal makes the frame independent of later SETs
-    return table(spark, d, "nation").where(F.col("n_regionkey") == value).select("n_name")
+    name = f"wanted_{uuid.uuid4().hex}"  # read when the plan runs, so each frame has a variable of its own
+    spark.sql(f"DECLARE VARIABLE {name} INT DEFAULT 1")
+    spark.sql(f"SET VAR {name} = (SELECT 2 + 1)")
+    return spark.sql(bind(f"SELECT n_name, {name} AS wanted FROM {{nation}} WHERE n_regionkey = {name}", d))
 
 
 @C.frame("sql_execute_immediate", "SELECT count(*) AS n FROM nation WHERE n_regionkey > 1")
@@ -176,22 +177,18 @@ def _(spark, d):
     return spark.table(name).groupBy("n_regionkey").agg(F.count("*").alias("n"))
 
 
-@C.frame("ddl_partitioned_overwrite", "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey IN (1, 2)")
+@C.frame("ddl_partitioned_overwrite", "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey IN (1, 2) AND n_nationkey > 5 OR n_regionkey = 3")
 def _(spark, d):
     name = f"t_{uuid.uuid4().hex}"
     spark.sql(f"CREATE TABLE {name} (n_nationkey INT, n_name STRING, n_regionkey INT) USING parquet PARTITIONED BY (n_regionkey)")
-    spark.sql(bind(f"INSERT INTO {name} SELECT n_nationkey, n_name, n_regionkey FROM {{nation}} WHERE n_regionkey = 1", d))
-    spark.sql(bind(f"INSERT INTO {name} PARTITION (n_regionkey = 2) SELECT n_nationkey, n_name FROM {{nation}} WHERE n_regionkey = 2", d))
+    spark.sql(bind(f"INSERT INTO {name} SELECT n_nationkey, n_name, n_regionkey FROM {{nation}} WHERE n_regionkey IN (1, 2, 3)", d))
+    for r in (1, 2):  # one partition at a time; the third stays
+        spark.sql(bind(f"INSERT OVERWRITE {name} PARTITION (n_regionkey = {r}) SELECT n_nationkey, n_name FROM {{nation}} WHERE n_regionkey = {r} AND n_nationkey > 5", d))
     return spark.table(name)
 
 
 def _shared(spark, kind: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="quarry-")
-    return f"{base}/{kind}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
 @C.frame("lake_delta_append_remove", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey <> 0 UNION ALL SELECT r_regionkey, r_name FROM region")

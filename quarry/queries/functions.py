@@ -23,17 +23,17 @@ _both("fn_str_length", "{part}", [
     ("p_partkey", "p_partkey", None), ("n", B("length(p_name)"), None), ("cl", B("char_length(p_name)"), B("length(p_name)")), ("ol", B("octet_length(p_name)"), B("strlen(p_name)")),
     ("bl", B("bit_length(p_name)"), None), ("ln", B("len(p_brand)"), B("length(p_brand)")),
 ])
-_both("fn_str_parts", "{part}", [
-    ("p_partkey", "p_partkey", None), ("s", "substring(p_name, 2, 3)", None), ("ss", "substr(p_name, -3)", "p_name[-3:]"), ("l", "left(p_name, 4)", None), ("r", "right(p_name, 4)", None),
-    ("sp", "split_part(p_name, '_', 2)", None), ("si", "substring_index(p_name, '_', 1)", "string_split(p_name, '_')[1]"), ("sf", "substring(p_name FROM 1 FOR 2)", "substring(p_name, 1, 2)"),
+_both("fn_str_parts", "{customer}", [
+    ("c_custkey", "c_custkey", None), ("s", "substring(c_name, 2, 3)", None), ("ss", "substr(c_name, -3)", "c_name[-3:]"), ("l", "left(c_name, 4)", None), ("r", "right(c_name, 4)", None),
+    ("sp", "split_part(c_name, '#', 2)", None), ("si", "substring_index(c_name, '0', 3)", "array_to_string(string_split(c_name, '0')[1:3], '0')"), ("sf", "substring(c_mktsegment FROM 1 FOR 2)", "substring(c_mktsegment, 1, 2)"),
 ])
 _both("fn_str_pad_trim", "{nation}", [
     ("n_nationkey", "n_nationkey", None), ("lp", "lpad(n_name, 12, '*')", None), ("rp", "rpad(n_name, 12, '-')", None), ("t", "trim('  x ')", None), ("lt", "ltrim('  x ')", None), ("rt", "rtrim('  x ')", None),
     ("bt", "btrim(n_name, 'N0')", "trim(n_name, 'N0')"), ("rep", "repeat('ab', n_regionkey + 1)", None), ("rev", "reverse(n_name)", None), ("sp", "concat('[', space(2), ']')", "'[  ]'"),
 ])
 _both("fn_str_search", "{part}", [
-    ("p_partkey", "p_partkey", None), ("i", B("instr(p_name, '_')"), None), ("p", B("position('a' IN p_name)"), None), ("l", B("locate('a', p_name)"), B("instr(p_name, 'a')")), ("c", "contains(p_name, '1')", None),
-    ("sw", "startswith(p_name, 'p')", "starts_with(p_name, 'p')"), ("ew", "endswith(p_name, '1')", "ends_with(p_name, '1')"), ("f", B("find_in_set('b', 'a,b,c')"), "CAST(2 AS BIGINT)"),
+    ("p_partkey", "p_partkey", None), ("i", B("instr(p_name, 'r')"), None), ("p", B("position('in' IN p_name)"), B("instr(p_name, 'in')")), ("l", B("locate('a', p_type)"), B("instr(p_type, 'a')")), ("c", "contains(p_name, 'red')", None),
+    ("sw", "startswith(p_name, 's')", "starts_with(p_name, 's')"), ("ew", "endswith(p_name, 'ring')", "ends_with(p_name, 'ring')"), ("f", B("find_in_set(substr(p_type, 1, 1), 'E,S,P')"), B("CASE p_type[1:1] WHEN 'E' THEN 1 WHEN 'S' THEN 2 WHEN 'P' THEN 3 ELSE 0 END")),
 ])
 _both("fn_str_build", "{nation}", [
     ("n_nationkey", "n_nationkey", None), ("c", "concat(n_name, '-', n_regionkey)", None), ("w", "concat_ws('/', n_name, NULL, 'z')", None), ("b", "n_name || '!'", None), ("f", "format_string('%s=%05d', n_name, n_nationkey)", "printf('%s=%05d', n_name, n_nationkey)"),
@@ -43,14 +43,16 @@ _both("fn_str_codes", "{nation}", [
     ("n_nationkey", "n_nationkey", None), ("a", B("ascii(n_name)"), None), ("c", "chr(65 + n_nationkey)", None), ("ch", "char(66)", "chr(66)"), ("h", "hex(n_name)", None), ("u", "CAST(unhex(hex(n_name)) AS STRING)", "n_name"), ("b64", "base64(encode(n_name, 'UTF-8'))", "to_base64(encode(n_name))"),
     ("m", "md5(n_name)", None), ("s2", "sha2(n_name, 256)", "sha256(n_name)"), ("s1", "sha1(n_name)", None), ("lv", B("levenshtein(n_name, 'NATION_1')"), None), ("d", "decode(encode(n_name, 'UTF-8'), 'UTF-8')", "n_name"),
 ])
-_both("fn_str_misc", "{region}", [
-    ("r_regionkey", "r_regionkey", None), ("sx", "soundex('Robert')", "'R163'"), ("mk", "mask('AbC-12', 'X', 'x', 'n')", "'XxX-nn'"), ("luhn", "luhn_check('79927398713')", "true"), ("fn", "format_number(1234567.891, 2)", "'1,234,567.89'"), ("valid", "is_valid_utf8(r_name)", "true"),
-    ("sent", "CAST(size(sentences('Hi there. Bye now.')) AS BIGINT)", "CAST(2 AS BIGINT)"), ("pf", "printf('%d%%', 5)", "'5%'"), ("col", "collation(r_name)", "'SYSTEM.BUILTIN.UTF8_BINARY'"), ("lcase_eq", "'ABC' COLLATE UTF8_LCASE = 'abc'", "true"),
+_both("fn_str_misc", "{customer}", [
+    ("c_custkey", "c_custkey", None), ("sx", "left(soundex(c_mktsegment), 1)", "c_mktsegment[1:1]"), ("mk", "mask(c_name, 'X', 'x', 'n')", "regexp_replace(regexp_replace(regexp_replace(c_name, '[a-z]', 'x', 'g'), '[A-Z]', 'X', 'g'), '[0-9]', 'n', 'g')"), ("luhn", "luhn_check(concat(c_custkey % 10, (10 - (c_custkey % 10) * 2 % 10 - (c_custkey % 10) * 2 DIV 10) % 10))", "true"),
+    ("fn", "format_number(c_acctbal, 1)", "format('{:,.1f}', c_acctbal)"), ("valid", "is_valid_utf8(c_name)", "true"), ("sent", B("size(sentences(concat(c_name, '. And more.')))"), B("length(c_name) - length(c_name) + 2")),
+    ("pf", "printf('%d%%', c_nationkey)", "c_nationkey || '%'"), ("col", "collation(c_name)", "'SYSTEM.BUILTIN.UTF8_BINARY'"), ("lcase_eq", "c_mktsegment COLLATE UTF8_LCASE = lower(c_mktsegment)", "true"),
 ])
-_both("fn_re", "{part}", [
-    ("p_partkey", "p_partkey", None), ("x", "regexp_extract(p_type, '([A-Z]+) ([A-Z]+)', 2)", None), ("r", "regexp_replace(p_name, '[0-9]+', '#')", "regexp_replace(p_name, '[0-9]+', '#', 'g')"), ("c", B("regexp_count(p_name, '[0-9]')"), B("len(regexp_extract_all(p_name, '[0-9]'))")),
-    ("l", "regexp_like(p_name, '^p')", "regexp_matches(p_name, '^p')"), ("a", "array_join(regexp_extract_all(p_name, '([0-9])', 1), ',')", "array_to_string(regexp_extract_all(p_name, '([0-9])', 1), ',')"), ("s", "regexp_substr(p_name, '[0-9]')", "nullif(regexp_extract(p_name, '[0-9]'), '')"),
-    ("i", B("regexp_instr(p_name, '[0-9]')"), B("CASE WHEN regexp_matches(p_name, '[0-9]') THEN length(regexp_extract(p_name, '^[^0-9]*')) + 1 ELSE 0 END")),
+_both("fn_re", "{customer}", [
+    ("c_custkey", "c_custkey", None), ("x", "regexp_extract(c_name, '([A-Za-z]+)#0*([0-9]+)', 2)", None), ("r", "regexp_replace(c_name, '[0-4]+', '_')", "regexp_replace(c_name, '[0-4]+', '_', 'g')"), ("c", B("regexp_count(c_name, '[1-9]')"), B("len(regexp_extract_all(c_name, '[1-9]'))")),
+    ("l", "regexp_like(c_name, '[13579]$')", "regexp_matches(c_name, '[13579]$')"), ("k", "c_mktsegment RLIKE '^[A-H]'", "regexp_matches(c_mktsegment, '^[A-H]')"), ("g", "regexp(c_name, '0{7}')", "regexp_matches(c_name, '0{7}')"),
+    ("a", "array_join(regexp_extract_all(c_name, '([1-9])', 1), ',')", "array_to_string(regexp_extract_all(c_name, '([1-9])', 1), ',')"), ("s", "regexp_substr(c_name, '[1-9]+')", "nullif(regexp_extract(c_name, '[1-9]+'), '')"),
+    ("i", B("regexp_instr(c_name, '[1-9]')"), B("CASE WHEN regexp_matches(c_name, '[1-9]') THEN length(regexp_extract(c_name, '^[^1-9]*')) + 1 ELSE 0 END")),
 ])
 _both("fn_date_parts", "{orders}", [
     ("o_orderkey", "o_orderkey", None), *[(p, B(f"{p}(o_orderdate)"), None) for p in ("year", "quarter", "month", "day", "hour", "minute")], ("doy", B("dayofyear(o_orderdate)"), None), ("dow", B("dayofweek(o_orderdate)"), B("dayofweek(o_orderdate) + 1")), ("wd", B("weekday(o_orderdate)"), B("isodow(o_orderdate) - 1")),
@@ -91,9 +93,13 @@ _both("fn_bits", "{nation}", [
     ("n_nationkey", "n_nationkey", None), ("a", "n_nationkey & 6", None), ("o", "n_nationkey | 6", None), ("x", "n_nationkey ^ 6", "xor(n_nationkey, 6)"), ("nt", "~n_nationkey", None), ("sl", "shiftleft(n_nationkey, 2)", "n_nationkey * 4"), ("sr", "shiftright(n_nationkey, 1)", "n_nationkey >> 1"), ("su", "shiftrightunsigned(n_nationkey, 1)", "n_nationkey >> 1"),
     ("c", B("bit_count(n_nationkey)"), None), ("g", B("getbit(n_nationkey, 0)"), B("n_nationkey & 1")), ("b", "bin(n_nationkey)", "bin(n_nationkey)"),
 ])
-_both("fn_conv", "{nation}", [
-    ("n_nationkey", "n_nationkey", None), ("c", "conv(n_nationkey, 10, 16)", "printf('%X', n_nationkey)"), ("h", "hex(n_nationkey)", "printf('%X', n_nationkey)"), ("tn", "CAST(to_number('1,234.5', '9,999.9') AS DOUBLE)", "1234.5::DOUBLE"), ("ttn", "try_to_number('x', '999') IS NULL", "true"), ("tc", "to_char(78.12, '$99.99')", "'$78.12'"), ("tv", "to_varchar(78.12, '99.99')", "'78.12'"),
-    ("tb", "CAST(to_binary('616263', 'hex') AS STRING)", "'abc'"), ("ttb", "try_to_binary('!', 'base64') IS NULL", "true"), ("ty", "typeof(n_nationkey)", "'int'"), ("i", "int('7')", "7"), ("bg", "bigint('7')", "CAST(7 AS BIGINT)"), ("sm", B("smallint('3')"), "CAST(3 AS BIGINT)"), ("ti", B("tinyint('3')"), "CAST(3 AS BIGINT)"), ("db", "double('1.5')", "1.5::DOUBLE"), ("bo", "boolean('yes')", "true"), ("st", "string(n_nationkey)", "CAST(n_nationkey AS VARCHAR)"), ("dt", "date('2020-02-03')", "DATE '2020-02-03'"),
+_both("fn_conv", "{customer}", [
+    ("c_custkey", "c_custkey", None), ("c", "conv(c_custkey, 10, 16)", "printf('%X', c_custkey)"), ("h", "hex(c_custkey)", "printf('%X', c_custkey)"), ("tn", "CAST(to_number(concat('1,', lpad(c_nationkey, 3, '0'), '.5'), '9,999.9') AS DOUBLE)", "1000 + c_nationkey + 0.5::DOUBLE"),
+    ("ttn", "try_to_number(c_mktsegment, '999') IS NULL", "true"), ("tc", "to_char(c_nationkey + 100, '$999')", "'$' || (c_nationkey + 100)"), ("tv", "to_varchar(c_nationkey + 0.25BD, '000.99')", "lpad(CAST(c_nationkey AS VARCHAR), 3, '0') || '.25'"),
+    ("tb", "CAST(to_binary(hex(c_name), 'hex') AS STRING)", "c_name"), ("ttb", "try_to_binary(c_name, 'hex') IS NULL", "true"), ("ty", "typeof(c_acctbal)", "'double'"), ("i", "int(right(c_name, 3))", "CAST(c_name[-3:] AS INTEGER)"), ("bg", "bigint(right(c_name, 4))", "CAST(c_name[-4:] AS BIGINT)"),
+    ("sm", B("smallint(c_nationkey)"), B("c_nationkey")), ("ti", B("tinyint(c_nationkey)"), B("c_nationkey")), ("db", "double(CAST(c_acctbal AS STRING))", "c_acctbal"), ("fl", "round(CAST(float(c_nationkey) AS DOUBLE), 1)", "CAST(c_nationkey AS DOUBLE)"), ("bo", "boolean(c_nationkey % 2)", "c_nationkey % 2 = 1"),
+    ("st", "string(c_nationkey)", "CAST(c_nationkey AS VARCHAR)"), ("dt", "date(concat('2020-02-', lpad(c_nationkey + 1, 2, '0')))", "DATE '2020-02-01' + c_nationkey"), ("ts", "CAST(timestamp(concat('2020-02-03 ', lpad(c_nationkey % 24, 2, '0'), ':00:00')) AS STRING)", "'2020-02-03 ' || lpad(CAST(c_nationkey % 24 AS VARCHAR), 2, '0') || ':00:00'"),
+    ("bi", "CAST(binary(c_name) AS STRING)", "c_name"), ("de", "CAST(decimal(c_nationkey) AS BIGINT)", B("c_nationkey")), ("rd", "random() < 1 AND random(3) >= 0", "true"), ("nu", "isnull(nullif(c_nationkey, 3))", "c_nationkey = 3"),
 ])
 _both("fn_cond", "{nation}", [
     ("n_nationkey", "n_nationkey", None), ("i", "if(n_regionkey > 2, 'a', 'b')", "CASE WHEN n_regionkey > 2 THEN 'a' ELSE 'b' END"), ("c", "coalesce(nullif(n_regionkey, 0), -1)", None), ("n", "nvl(nullif(n_regionkey, 1), 9)", "coalesce(nullif(n_regionkey, 1), 9)"), ("n2", "nvl2(nullif(n_regionkey, 1), 'x', 'y')", "CASE WHEN n_regionkey <> 1 THEN 'x' ELSE 'y' END"), ("nz", "nullifzero(n_regionkey)", "nullif(n_regionkey, 0)"), ("zn", "zeroifnull(nullif(n_regionkey, 1))", "coalesce(nullif(n_regionkey, 1), 0)"), ("en", "equal_null(n_regionkey, NULL)", "false"),
@@ -103,9 +109,14 @@ _both("fn_try", "{nation}", [
     ("n_nationkey", "n_nationkey", None), ("a", "try_add(2147483647, n_nationkey)", "CASE WHEN n_nationkey = 0 THEN 2147483647 END"), ("s", "try_subtract(n_nationkey, 1)", "n_nationkey - 1"), ("m", "try_multiply(n_nationkey, 2)", "n_nationkey * 2"), ("d", "try_divide(n_nationkey, n_regionkey)", "CASE WHEN n_regionkey <> 0 THEN n_nationkey / n_regionkey END"), ("r", "try_mod(n_nationkey, n_regionkey)", "CASE WHEN n_regionkey <> 0 THEN n_nationkey % n_regionkey END"), ("c", "try_cast('x1' AS INT)", "CAST(NULL AS INTEGER)"), ("e", "try_element_at(array(1, 2), n_regionkey + 1)", "CASE n_regionkey WHEN 0 THEN 1 WHEN 1 THEN 2 END"),
     ("u", "try_url_decode('%zz') IS NULL", "true"),
 ])
+_N, _L = "array(n_regionkey, n_nationkey, n_regionkey)", "[n_regionkey, n_nationkey, n_regionkey]"
 _both("fn_array", "{nation}", [
-    ("n_nationkey", "n_nationkey", None), ("sz", B("array_size(array(n_nationkey, n_regionkey))"), "CAST(2 AS BIGINT)"), ("ct", "array_contains(array(1, 2, 3), n_regionkey)", "list_contains([1, 2, 3], n_regionkey)"), ("ds", "array_join(array_distinct(array('a', 'b', 'a')), '')", "'ab'"), ("p", B("array_position(array(5, 6, 7), 6)"), "CAST(2 AS BIGINT)"), ("so", "array_join(sort_array(array(3, 1, 2), false), '')", "'321'"), ("sl", "array_join(slice(array(1, 2, 3, 4), 2, 2), '')", "'23'"), ("mx", "array_max(array(n_nationkey, 3))", "greatest(n_nationkey, 3)"), ("mn", "array_min(array(n_nationkey, 3))", "least(n_nationkey, 3)"),
-    ("un", "array_join(array_union(array(1, 2), array(2, 3)), '')", "'123'"), ("it", "array_join(array_intersect(array(1, 2), array(2, 3)), '')", "'2'"), ("ex", "array_join(array_except(array(1, 2), array(2, 3)), '')", "'1'"), ("ov", "arrays_overlap(array(1, 2), array(2, 3))", "true"), ("ap", "array_join(array_append(array(1), n_regionkey), '-')", "'1-' || n_regionkey"), ("pp", "array_join(array_prepend(array(1), 0), '')", "'01'"), ("ins", "array_join(array_insert(array(1, 3), 2, 2), '')", "'123'"), ("cm", B("size(array_compact(array(1, NULL, 2)))"), "CAST(2 AS BIGINT)"), ("rm", "array_join(array_remove(array(1, 2, 1), 1), '')", "'2'"), ("rp", "array_join(array_repeat('x', 3), '')", "'xxx'"), ("fl", "array_join(flatten(array(array(1), array(2, 3))), '')", "'123'"), ("sq", "array_join(sequence(1, 5, 2), '')", "'135'"), ("el", "element_at(array(7, 8), -1)", "8"), ("ge", "get(array(7, 8), 5) IS NULL", "true"), ("rv", "array_join(reverse(array(1, 2)), '')", "'21'"), ("zp", B("size(arrays_zip(array(1, 2), array(3)))"), "CAST(2 AS BIGINT)"),
+    ("n_nationkey", "n_nationkey", None), ("sz", B(f"array_size({_N})"), B(f"len({_L})")), ("ct", "array_contains(array(1, 2, 3), n_regionkey)", "list_contains([1, 2, 3], n_regionkey)"), ("ds", B(f"size(array_distinct({_N}))"), B(f"len(list_distinct({_L}))")), ("p", B(f"array_position({_N}, n_nationkey)"), B(f"list_position({_L}, n_nationkey)")),
+    ("so", f"array_join(sort_array({_N}, false), ',')", f"array_to_string(list_reverse_sort({_L}), ',')"), ("sl", f"array_join(slice({_N}, 2, 2), ',')", f"array_to_string(({_L})[2:3], ',')"), ("mx", "array_max(array(n_nationkey, 3))", "greatest(n_nationkey, 3)"), ("mn", "array_min(array(n_nationkey, 3))", "least(n_nationkey, 3)"),
+    ("un", "array_join(sort_array(array_union(array(1, n_regionkey), array(n_nationkey, 2))), ',')", "array_to_string(list_sort(list_distinct([1, n_regionkey, n_nationkey, 2])), ',')"), ("it", "array_join(sort_array(array_intersect(array(1, 2, 3), array(n_regionkey, n_nationkey))), ',')", "array_to_string(list_sort(list_intersect([1, 2, 3], [n_regionkey, n_nationkey])), ',')"),
+    ("ex", "array_join(array_except(array(1, 2, 3, 4), array(n_regionkey)), ',')", "array_to_string(list_filter([1, 2, 3, 4], lambda x: x <> n_regionkey), ',')"), ("ov", "arrays_overlap(array(1, 2), array(n_regionkey, n_nationkey))", "list_has_any([1, 2], [n_regionkey, n_nationkey])"), ("ap", "array_join(array_append(array(1), n_regionkey), '-')", "'1-' || n_regionkey"), ("pp", "array_join(array_prepend(array(1), n_nationkey), '-')", "n_nationkey || '-1'"),
+    ("ins", "array_join(array_insert(array(1, 3), 2, n_nationkey), '-')", "'1-' || n_nationkey || '-3'"), ("cm", B("size(array_compact(array(1, nullif(n_regionkey, 2), 2)))"), B("CASE WHEN n_regionkey = 2 THEN 2 ELSE 3 END")), ("rm", f"array_join(array_remove({_N}, n_regionkey), '')", "CASE WHEN n_nationkey = n_regionkey THEN '' ELSE CAST(n_nationkey AS VARCHAR) END"), ("rp", "array_join(array_repeat(n_name, n_regionkey), '')", "repeat(n_name, n_regionkey)"),
+    ("fl", f"array_join(flatten(array(array(n_regionkey), {_N})), ',')", f"array_to_string(flatten([[n_regionkey], {_L}]), ',')"), ("sq", "array_join(sequence(1, n_nationkey + 1, 2), ',')", "array_to_string(range(1, n_nationkey + 2, 2), ',')"), ("el", f"element_at({_N}, -2)", "n_nationkey"), ("ge", f"get({_N}, n_nationkey)", f"({_L})[n_nationkey + 1]"), ("rv", "array_join(reverse(array(n_regionkey, n_nationkey)), ',')", "n_nationkey || ',' || n_regionkey"), ("zp", "arrays_zip(array(1, n_nationkey), array(n_regionkey))[1]['0']", "n_nationkey"),
 ])
 _both("fn_hof", "{nation}", [
     ("n_nationkey", "n_nationkey", None), ("t", "array_join(transform(sequence(0, n_regionkey), x -> x * 2), ',')", "array_to_string(list_transform(range(0, n_regionkey + 1), lambda x: x * 2), ',')"), ("f", "array_join(filter(sequence(0, 9), x -> x % 2 = n_regionkey % 2), '')", "array_to_string(list_filter(range(0, 10), lambda x: x % 2 = n_regionkey % 2), '')"), ("e", "exists(array(1, 2, 3), x -> x = n_regionkey)", "list_contains([1, 2, 3], n_regionkey)"), ("fa", "forall(array(1, 2, 3), x -> x > n_regionkey)", "n_regionkey < 1"), ("a", "aggregate(sequence(1, n_regionkey + 1), 0, (s, x) -> s + x)", "CAST((n_regionkey + 1) * (n_regionkey + 2) // 2 AS INTEGER)"), ("rd", "reduce(array(1, 2), n_nationkey, (s, x) -> s + x)", "n_nationkey + 3"),
@@ -130,4 +141,5 @@ _both("fn_embedding_math", "{embeddings}", [
 C.sql("fn_random_shape", "SELECT count(*) AS n FROM {nation} WHERE rand(1) BETWEEN 0 AND 1 AND randn(1) IS NOT NULL AND length(randstr(5, 1)) = 5 AND uniform(1, 9, 1) BETWEEN 1 AND 9 AND length(uuid()) = 36", "SELECT count(*) AS n FROM nation")
 C.sql("fn_session", "SELECT current_catalog() AS c, current_database() AS d, current_schema() AS s", "SELECT 'spark_catalog' AS c, 'default' AS d, 'default' AS s")
 C.sql("fn_reflect", "SELECT try_reflect('java.lang.Math', 'abs', -3) AS a, count(*) > 100 AS k FROM sql_keywords()", "SELECT '3' AS a, true AS k")
-C.sql("fn_hash", "SELECT n_nationkey, crc32(n_name) >= 0 AS c, hash(n_name) = hash(n_name) AS h, xxhash64(n_name) = xxhash64(n_name) AS x FROM {nation}", "SELECT n_nationkey, true AS c, true AS h, true AS x FROM nation")
+C.sql("fn_hash", "SELECT l_returnflag, count(DISTINCT hash(l_partkey)) AS h, count(DISTINCT xxhash64(l_partkey, l_suppkey)) AS x, count(DISTINCT crc32(CAST(l_orderkey AS STRING))) AS c FROM {lineitem} GROUP BY l_returnflag",
+      "SELECT l_returnflag, count(DISTINCT l_partkey) AS h, count(DISTINCT (l_partkey, l_suppkey)) AS x, count(DISTINCT l_orderkey) AS c FROM {lineitem} GROUP BY l_returnflag")

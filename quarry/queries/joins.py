@@ -15,15 +15,14 @@ C.sql("join_right", "SELECT c_custkey, o_orderkey FROM {orders} RIGHT JOIN {cust
 C.sql("join_full", "SELECT c_nationkey, s_nationkey, c_custkey, s_suppkey FROM (SELECT * FROM {customer} WHERE c_acctbal < 1000) c FULL OUTER JOIN (SELECT * FROM {supplier} WHERE s_acctbal > 3000) s ON c_nationkey = s_nationkey")
 C.sql("join_semi", "SELECT c_custkey, c_name FROM {customer} LEFT SEMI JOIN {orders} ON c_custkey = o_custkey AND o_totalprice > 250000",
       "SELECT c_custkey, c_name FROM {customer} WHERE EXISTS (SELECT 1 FROM {orders} WHERE c_custkey = o_custkey AND o_totalprice > 250000)")
-C.sql("join_anti", "SELECT c_custkey, c_name FROM {customer} LEFT ANTI JOIN {orders} ON c_custkey = o_custkey",
-      "SELECT c_custkey, c_name FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE c_custkey = o_custkey)")
+C.sql("join_anti", "SELECT c_custkey, c_name FROM {customer} LEFT ANTI JOIN {orders} ON c_custkey = o_custkey AND o_totalprice > 400000",
+      "SELECT c_custkey, c_name FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE c_custkey = o_custkey AND o_totalprice > 400000)")
 C.sql("join_cross", "SELECT n_nationkey, r_regionkey FROM {nation} CROSS JOIN {region}")
 C.sql("join_natural", "SELECT x, y, z FROM (SELECT n_nationkey AS x, n_regionkey AS y FROM {nation}) NATURAL JOIN (SELECT r_regionkey AS y, r_name AS z FROM {region})")
-C.sql("join_theta", "SELECT c_custkey, o_orderkey FROM {customer} JOIN {orders} ON c_custkey = o_custkey AND o_totalprice > c_acctbal * 30")
+C.sql("join_residual", "SELECT c_custkey, o_orderkey FROM {customer} JOIN {orders} ON c_custkey = o_custkey AND o_totalprice > c_acctbal * 30")
+C.sql("join_theta", "SELECT s_suppkey, n_nationkey FROM {supplier} JOIN {nation} ON s_nationkey < n_nationkey AND s_acctbal > 100 * n_nationkey")
 C.sql("join_self", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
-C.sql("join_null_safe", "SELECT a.doc_id AS a, b.doc_id AS b FROM (SELECT doc_id, lang FROM {documents} WHERE doc_id < 40) a JOIN (SELECT doc_id, lang FROM {documents} WHERE doc_id BETWEEN 40 AND 60) b ON a.lang <=> b.lang",
-      "SELECT a.doc_id AS a, b.doc_id AS b FROM (SELECT doc_id, lang FROM {documents} WHERE doc_id < 40) a JOIN (SELECT doc_id, lang FROM {documents} WHERE doc_id BETWEEN 40 AND 60) b ON a.lang IS NOT DISTINCT FROM b.lang")
-C.sql("join_null_safe_whole", "SELECT a.lang, a.n, b.n AS m FROM (SELECT nullif(lang, 'de') AS lang, count(*) AS n FROM {documents} GROUP BY 1) a JOIN (SELECT nullif(lang, 'fr') AS lang, count(DISTINCT source) AS n FROM {documents} GROUP BY 1) b ON a.lang <=> b.lang",
+C.sql("join_null_safe", "SELECT a.lang, a.n, b.n AS m FROM (SELECT nullif(lang, 'de') AS lang, count(*) AS n FROM {documents} GROUP BY 1) a JOIN (SELECT nullif(lang, 'fr') AS lang, count(DISTINCT source) AS n FROM {documents} GROUP BY 1) b ON a.lang <=> b.lang",
       "SELECT a.lang, a.n, b.n AS m FROM (SELECT nullif(lang, 'de') AS lang, count(*) AS n FROM {documents} GROUP BY 1) a JOIN (SELECT nullif(lang, 'fr') AS lang, count(DISTINCT source) AS n FROM {documents} GROUP BY 1) b ON a.lang IS NOT DISTINCT FROM b.lang")
 C.sql("join_star", """SELECT r_name, p_brand, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM {lineitem}
   JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {part} ON l_partkey = p_partkey
@@ -80,10 +79,10 @@ C.sql("join_lateral_top_n", "SELECT c_custkey, o.o_orderkey, o.o_totalprice FROM
 C.sql("join_lateral_column", "SELECT n_nationkey, t.d, t.s FROM {nation}, LATERAL (SELECT n_nationkey * 2 AS d, n_nationkey + n_regionkey AS s) t", "SELECT n_nationkey, n_nationkey * 2 AS d, n_nationkey + n_regionkey AS s FROM {nation}")
 
 C.sql("subq_exists", "SELECT o_orderpriority, count(*) AS n FROM {orders} WHERE EXISTS (SELECT 1 FROM {lineitem} WHERE l_orderkey = o_orderkey AND l_quantity > 49) GROUP BY o_orderpriority")
-C.sql("subq_not_exists", "SELECT s_suppkey FROM {supplier} WHERE NOT EXISTS (SELECT 1 FROM {lineitem} WHERE l_suppkey = s_suppkey AND l_returnflag = 'R' AND l_quantity > 48)")
+C.sql("subq_not_exists", "SELECT s_suppkey FROM {supplier} WHERE NOT EXISTS (SELECT 1 FROM {lineitem} WHERE l_suppkey = s_suppkey AND l_returnflag = 'R' AND l_quantity > 49 AND l_linenumber = 3)")
 C.sql("subq_in", "SELECT c_custkey FROM {customer} WHERE c_custkey IN (SELECT o_custkey FROM {orders} WHERE o_totalprice > 300000)")
 C.sql("subq_not_in_nulls", "SELECT n_nationkey FROM {nation} WHERE n_nationkey NOT IN (SELECT CASE WHEN r_regionkey > 2 THEN NULL ELSE r_regionkey END FROM {region})")
-C.sql("subq_not_in", "SELECT n_nationkey FROM {nation} WHERE n_nationkey NOT IN (SELECT c_nationkey FROM {customer} WHERE c_acctbal > 9000)")
+C.sql("subq_not_in", "SELECT n_nationkey FROM {nation} WHERE n_nationkey NOT IN (SELECT c_nationkey FROM {customer} WHERE c_acctbal > 9300 AND c_mktsegment = 'BUILDING')")
 C.sql("subq_scalar", "SELECT o_orderkey FROM {orders} WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.8 FROM {orders})")
 C.sql("subq_scalar_correlated", "SELECT l_orderkey, l_linenumber FROM {lineitem} l WHERE l_quantity < (SELECT 0.2 * avg(l_quantity) FROM {lineitem} i WHERE i.l_partkey = l.l_partkey)")
 C.sql("subq_scalar_select", "SELECT r_regionkey, (SELECT count(*) FROM {nation} WHERE n_regionkey = r_regionkey) AS n FROM {region}")
@@ -92,4 +91,5 @@ C.sql("subq_exists_or", "SELECT c_custkey FROM {customer} WHERE c_acctbal > 9500
 C.sql("cte_reuse", "WITH t AS (SELECT o_custkey, count(*) AS n FROM {orders} GROUP BY o_custkey) SELECT a.o_custkey, a.n FROM t a WHERE a.n = (SELECT max(n) FROM t)")
 C.sql("cte_nested", "WITH a AS (WITH b AS (SELECT n_regionkey AS r FROM {nation}) SELECT r, count(*) AS n FROM b GROUP BY r) SELECT r_name, n FROM a JOIN {region} ON r = r_regionkey")
 C.sql("cte_recursive", "WITH RECURSIVE t(n, f) AS (SELECT 1, 1 UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 10) SELECT n, f FROM t")
-C.sql("cte_recursive_graph", "WITH RECURSIVE t(k, depth) AS (SELECT 0, 0 UNION ALL SELECT n_nationkey, depth + 1 FROM t JOIN {nation} ON n_nationkey = k * 2 + 1 OR n_nationkey = k * 2 + 2) SELECT k, depth FROM t")
+C.sql("cte_recursive_graph", "WITH RECURSIVE t(k, depth) AS (SELECT 0, 0 UNION ALL SELECT n_nationkey, depth + 1 FROM t JOIN {nation} ON k = (n_nationkey - 1) DIV 2 WHERE n_nationkey > 0) SELECT k, depth FROM t",
+      "WITH RECURSIVE t(k, depth) AS (SELECT 0, 0 UNION ALL SELECT n_nationkey, depth + 1 FROM t JOIN {nation} ON k = (n_nationkey - 1) // 2 WHERE n_nationkey > 0) SELECT k, depth FROM t")

@@ -11,11 +11,11 @@ C = Catalog()
 C.sql("scan_projection", "SELECT l_orderkey, l_linenumber, l_quantity FROM {lineitem}")
 C.sql("scan_filter_pushdown", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM {lineitem} WHERE l_quantity >= 45 AND l_discount BETWEEN 0.03 AND 0.07 AND l_returnflag = 'R'")
 C.sql("scan_in_list", "SELECT o_orderkey, o_orderpriority FROM {orders} WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus NOT IN ('P')")
-C.sql("scan_like", "SELECT p_partkey, p_name, p_type FROM {part} WHERE p_type LIKE '%E%' AND p_name NOT LIKE '%9'")
+C.sql("scan_like", "SELECT p_partkey, p_name, p_type FROM {part} WHERE p_type LIKE '%E%' AND p_name NOT LIKE '%ring'")
 C.sql("scan_ilike", "SELECT c_custkey, c_mktsegment FROM {customer} WHERE c_mktsegment ILIKE '%build%'")
 C.sql("scan_like_any_all", "SELECT c_custkey FROM {customer} WHERE c_mktsegment LIKE ANY ('%A%', 'B%') AND c_name NOT LIKE ALL ('%7', '%8')",
       "SELECT c_custkey FROM {customer} WHERE (c_mktsegment LIKE '%A%' OR c_mktsegment LIKE 'B%') AND c_name NOT LIKE '%7' AND c_name NOT LIKE '%8'")
-C.sql("scan_rlike", "SELECT p_partkey FROM {part} WHERE p_name RLIKE '[0-4]$'", "SELECT p_partkey FROM {part} WHERE regexp_matches(p_name, '[0-4]$')")
+C.sql("scan_rlike", "SELECT c_custkey FROM {customer} WHERE c_name RLIKE '#0+[1-9]*[0-4]$'", "SELECT c_custkey FROM {customer} WHERE regexp_matches(c_name, '#0+[1-9]*[0-4]$')")
 C.sql("scan_null_tests", "SELECT doc_id, lang IS NULL AS no_lang, lang IS NOT NULL AS has_lang, lang IS DISTINCT FROM 'en' AS not_en FROM {documents}")
 C.sql("scan_case", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS bucket, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 0 END AS code FROM {orders}")
 C.sql("scan_arithmetic", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 1) AS charge, CAST(l_linenumber % 3 AS BIGINT) AS rest, round(l_quantity / 7, 4) AS seventh, -l_linenumber AS neg FROM {lineitem}")
@@ -28,7 +28,7 @@ C.sql("scan_pipe_syntax", "FROM {orders} |> WHERE o_totalprice > 100000 |> AGGRE
 
 C.sql("sort_top_k", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 C.sql("sort_offset", "SELECT c_custkey, c_acctbal FROM {customer} ORDER BY c_acctbal ASC NULLS LAST, c_custkey LIMIT 20 OFFSET 15")
-C.sql("sort_nulls", "SELECT doc_id, lang FROM {documents} ORDER BY lang ASC NULLS FIRST, doc_id DESC LIMIT 40")
+C.sql("sort_nulls", "SELECT doc_id, lang, CAST(row_number() OVER (ORDER BY lang ASC NULLS FIRST, doc_id DESC) AS BIGINT) AS first, CAST(row_number() OVER (ORDER BY lang DESC NULLS LAST, doc_id) AS BIGINT) AS last FROM (SELECT doc_id, nullif(lang, 'de') AS lang FROM {documents}) ORDER BY lang ASC NULLS FIRST, doc_id DESC")
 C.sql("sort_ordinal_all", "SELECT n_regionkey, n_nationkey FROM {nation} ORDER BY ALL LIMIT 12")
 
 
@@ -53,7 +53,7 @@ def _(spark, d):
     return table(spark, d, "lineitem").sample(fraction=0.1, seed=7).select("l_orderkey", "l_linenumber")
 
 
-C.sql("sort_tablesample", "SELECT count(*) > 0 AS some FROM {lineitem} TABLESAMPLE (20 PERCENT) REPEATABLE (11)", "SELECT true AS some")
+C.sql("sort_tablesample", "SELECT l_returnflag, n, s BETWEEN 0.1 * n AND 0.3 * n AS fair FROM (SELECT l_returnflag, count(*) AS n FROM {lineitem} GROUP BY 1) JOIN (SELECT l_returnflag, count(*) AS s FROM {lineitem} TABLESAMPLE (20 PERCENT) REPEATABLE (11) GROUP BY 1) USING (l_returnflag)", "SELECT l_returnflag, count(*) AS n, true AS fair FROM {lineitem} GROUP BY 1")
 
 
 @C.frame("sort_sample_by", None)
@@ -64,10 +64,10 @@ def _(spark, d):
 C.sql("set_union_all", "SELECT n_nationkey AS k FROM {nation} UNION ALL SELECT r_regionkey FROM {region}")
 C.sql("set_union", "SELECT c_nationkey AS k FROM {customer} UNION SELECT s_nationkey FROM {supplier}")
 C.sql("set_intersect", "SELECT c_nationkey AS k FROM {customer} INTERSECT SELECT s_nationkey FROM {supplier}")
-C.sql("set_except", "SELECT n_nationkey AS k FROM {nation} EXCEPT SELECT s_nationkey FROM {supplier}")
+C.sql("set_except", "SELECT n_nationkey AS k FROM {nation} EXCEPT SELECT s_nationkey FROM {supplier} WHERE s_acctbal > 8000")
 C.sql("set_intersect_all", "SELECT c_nationkey AS k FROM {customer} INTERSECT ALL SELECT s_nationkey FROM {supplier}")
 C.sql("set_except_all", "SELECT c_nationkey AS k FROM {customer} EXCEPT ALL SELECT s_nationkey FROM {supplier}")
-C.sql("set_minus", "SELECT n_nationkey AS k FROM {nation} MINUS SELECT c_nationkey FROM {customer} WHERE c_acctbal > 5000", "SELECT n_nationkey AS k FROM {nation} EXCEPT SELECT c_nationkey FROM {customer} WHERE c_acctbal > 5000")
+C.sql("set_minus", "SELECT c_custkey AS k FROM {customer} MINUS SELECT o_custkey FROM {orders} WHERE o_totalprice > 250000", "SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey FROM {orders} WHERE o_totalprice > 250000")
 C.sql("set_distinct", "SELECT DISTINCT l_returnflag, l_linestatus FROM {lineitem}")
 
 
@@ -78,10 +78,10 @@ def _(spark, d):
     return n.unionByName(r, allowMissingColumns=True)
 
 
-@C.frame("set_drop_duplicates", "SELECT min(o_orderkey) AS o_orderkey, o_custkey, o_orderstatus FROM orders GROUP BY o_custkey, o_orderstatus")
-def _(spark, d):  # which row dropDuplicates keeps is open; the smallest key makes it definite
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    return o.groupBy("o_custkey", "o_orderstatus").agg(F.min("o_orderkey").alias("o_orderkey"))
+@C.frame("set_drop_duplicates", "SELECT DISTINCT o_custkey, o_orderstatus, year(o_orderdate)::INTEGER AS y FROM orders")
+def _(spark, d):  # which row dropDuplicates keeps is open; the columns compared make all of it
+    o = table(spark, d, "orders").select("o_custkey", "o_orderstatus", F.year("o_orderdate").alias("y"))
+    return o.dropDuplicates(["o_custkey", "o_orderstatus", "y"])
 
 
 @C.frame("set_drop_duplicates_count", "SELECT count(*) AS n FROM (SELECT DISTINCT o_custkey, o_orderstatus FROM orders)")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,9 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..session import shared_folder
+
 
 def file_stream(spark: SparkSession, sf_dir: str, name: str, event_time: str | None = None) -> DataFrame:
     """A table's files as a stream; event_time is cast to a timestamp, which watermarks need."""
@@ -82,6 +83,42 @@ def run_to_files(stream: DataFrame, path: str, checkpoint: str, fmt: str = "parq
     stream.writeStream.format(fmt).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def run_each_batch(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Each micro-batch as a batch frame, written to a folder named by its number: a batch that is run again replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+class _Latest(StatefulProcessor):
+    """Rows so far and the largest value, for each key."""
+
+    def __init__(self, key: str, value: str):
+        self.key, self.value = key, value
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("seen", "n long, last long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  names of the interface
+        n, last = self.state.get() if self.state.exists() else (0, -(1 << 63))
+        for f in rows:
+            n, last = n + len(f), max(last, int(f[self.value].max()))
+        self.state.update((n, last))
+        yield pd.DataFrame({self.key: [key[0]], "n": [n], "last": [last]})
+
+    def close(self) -> None:
+        pass
+
+
+def latest_by_key(stream: DataFrame, key: str, value: str) -> DataFrame:
+    """key, n, last with every batch, by a stateful processor (its state needs the RocksDB store)."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    kind = stream.schema[key].dataType.simpleString()
+    return stream.groupBy(key).transformWithStateInPandas(_Latest(key, value), f"{key} {kind}, n long, last long", "Append", "None")
+
+
 class QueryManager:
     """Start, look at, drain and stop named streaming queries."""
 
@@ -89,7 +126,7 @@ class QueryManager:
         self.spark, self.checkpoints, self.own = spark, checkpoints, {}
 
     def start(self, name: str, stream: DataFrame, fmt: str = "memory", mode: str = "append", trigger: dict | None = None, **options: str) -> StreamingQuery:
-        base = self.checkpoints or self.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-stream-")
+        base = self.checkpoints or shared_folder(self.spark)
         writer = stream.writeStream.format(fmt).queryName(name).outputMode(mode).options(**options)
         if fmt != "memory" or mode == "complete":
             writer = writer.option("checkpointLocation", f"{base}/{name}")

@@ -26,7 +26,11 @@ def rows(df: pd.DataFrame) -> list[tuple]:
 
 
 def same(a: list[tuple], b: list[tuple]) -> bool:
-    """Equal up to the last digit of rounded numbers, which the order of a sum can turn."""
+    """Equal up to a relative 1e-6: the order of a sum can turn the last digit that a rounded number keeps."""
     if len(a) != len(b):
         return False
-    return a == b or all(len(x) == len(y) and all(u == v or isinstance(u, float) and isinstance(v, float) and abs(u - v) <= 1e-6 * max(1, abs(u)) + 0.0101 for u, v in zip(x, y, strict=True)) for x, y in zip(a, b, strict=True))
+    return a == b or all(len(x) == len(y) and all(map(_near, x, y)) for x, y in zip(a, b, strict=True))
+
+
+def _near(u, v) -> bool:
+    return u == v or isinstance(u, float) and isinstance(v, float) and abs(u - v) <= max(1e-6 * max(abs(u), abs(v)), 1e-9)

@@ -9,6 +9,8 @@ from conftest import SF
 from quarry.queries import catalog
 
 CATALOG = catalog()
+#: Empty by its meaning, and empty for want of rows in the smallest fixture.
+EMPTY = {"subq_not_in_nulls", "tpch_q22"}
 
 
 @pytest.mark.parametrize("name", [n for n, q in CATALOG.items() if q.oracle is not None])
@@ -17,11 +19,14 @@ def test_matches_duckdb(spark, duck, name):
     want = duck.sql(CATALOG[name].oracle).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert same(rows(got), rows(want))
+    if name not in EMPTY:
+        assert len(got), "no rows"
+        assert got.notna().any(axis=None), "nothing but nulls"
 
 
 @pytest.mark.parametrize("name", [n for n, q in CATALOG.items() if q.oracle is None])
 def test_runs(spark, name):
-    assert CATALOG[name].build(spark, SF).count() >= 0
+    assert CATALOG[name].build(spark, SF).count() > 0
 
 
 def test_entry(spark):
@@ -29,20 +34,3 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
-
-
-def test_null_safe_join_reads_all_documents(spark):
-    """Nulls of both sides meet, and no document is left out."""
-    d = SF.replace("sf0.001", "sf0.01")
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    got = CATALOG["join_null_safe_whole"].build(spark, d).collect()
-    assert sum(r.n for r in got) == docs.where("lang IS NULL OR lang <> 'fr'").count() > 61
-    assert [r.n for r in got if r.lang is None] == [docs.where("lang IS NULL OR lang = 'de'").count()]
-
-
-def test_gap_fill_reads_all_users(spark):
-    d = SF.replace("sf0.001", "sf0.01")
-    events = spark.read.parquet(f"{d}/events.parquet")
-    got = CATALOG["win_gap_fill_whole"].build(spark, d).toPandas()
-    assert set(got.user_id) == {r.user_id for r in events.select("user_id").distinct().collect()} and max(got.user_id) >= 20
-    assert got.n.sum() == events.where("ts IS NOT NULL").count()
