@@ -89,6 +89,11 @@ def release() -> None:
             return
 
 
+def type_of(df: DataFrame, column: str) -> str:
+    """The SQL name of a column's type."""
+    return df.schema[column].dataType.simpleString()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -112,3 +117,21 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
         end = max(start + 1, int(np.searchsorted(at, at[start] + most, "right")) - 1)
         yield batch.slice(start, end - start)
         start = end
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], by: int = 1) -> Iterator[pa.RecordBatch]:
+    """Batches cut anew so that rows that agree in the first `by` columns, which follow one another, stay together."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not len(b):
+            continue
+        names = [b.column(i).to_numpy() for i in range(by)]
+        other = np.flatnonzero(np.logical_or.reduce([x != x[-1] for x in names]))
+        if not len(other) and (not held or all(held[0].column(i)[0].as_py() == names[i][0] for i in range(by))):
+            held.append(b)  # the group goes on
+            continue
+        end = int(other[-1]) + 1 if len(other) else 0
+        yield pa.Table.from_batches([*held, b.slice(0, end)]).combine_chunks().to_batches()[0]
+        held = [b.slice(end)]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
