@@ -17,13 +17,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_view, slices
+from .common import binary_view, slices, type_of
 
 #: Buckets of the hashed trigrams: the model has one float for each bucket and language.
 BUCKETS = 1 << 15
-#: More distinct labels than this are an error, not a language list; with it the model stays under 128 MB.
+#: Of more distinct labels than this, those with the most n-grams are learned (the model stays under 128 MB).
 MAX_LANGUAGES = 1024
-ROUNDS, SMOOTHING = 12, 0.05
+SMOOTHING = 0.05
+#: EM ends when no other shares can have a log-likelihood higher by more than this, or after ROUNDS at the latest.
+SETTLED, ROUNDS = 0.05, 5_000
 UNKNOWN = "und"
 _SHIFT = np.uint32(32 - 15)
 _MAP = np.full(256, 32, np.uint8)
@@ -64,7 +66,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
 
     Counts cover every labelled row. A task sends one row for each language and bucket at most; the
     driver gets languages times buckets numbers, whatever the size of the corpus. Rows whose text or
-    label is null take no part.
+    label is null take no part. Of more than MAX_LANGUAGES labels those with the most n-grams are
+    learned, ties by name; the rest is as if unlabelled.
     """
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("text"))
 
@@ -91,11 +94,10 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
             yield pa.record_batch([pa.array([name] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(c[some])], ["lang", "bucket", "n"])
 
     counts = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    by_lang = counts.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("own"))
+    by_lang = counts.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("own"), F.sum("n").alias("total"))
+    by_lang = by_lang.orderBy(F.desc("total"), "lang").limit(MAX_LANGUAGES).select("lang", "own")
     langs, columns = [], []
     for lang, own in by_lang.toLocalIterator():  # BUCKETS entries for each language at most
-        if len(langs) == MAX_LANGUAGES:
-            raise ValueError(f"more than {MAX_LANGUAGES} different labels in {lang_col}")
         c = np.full(BUCKETS, SMOOTHING)
         c[[r[0] for r in own]] += [r[1] for r in own]
         langs.append(lang)
@@ -104,18 +106,23 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
     return [langs[i] for i in order], np.stack([columns[i] for i in order], 1) if langs else np.empty((BUCKETS, 0), np.float32)
 
 
-def mixture(logs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, float]:
-    """Shares of the languages and log-likelihood of n-grams with these log-probabilities (n-grams by languages)."""
+def mixture(logs: np.ndarray, counts: np.ndarray, share: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Shares of the languages and log-likelihood of n-grams with these log-probabilities (n-grams by languages).
+
+    Each round multiplies a share by the mean of its language's likelihood over the mixture's. The
+    logarithm of the largest such factor, times the n-grams, is more than any other shares can gain,
+    so the rounds end with a likelihood within SETTLED of the best. share: where to begin.
+    """
     top = logs.max(1, keepdims=True)
     like = np.exp(logs - top)
-    share = np.full(logs.shape[1], 1 / logs.shape[1])
+    total = counts.sum()
+    share = np.full(logs.shape[1], 1 / logs.shape[1]) if share is None else share / share.sum()
     for _ in range(ROUNDS if logs.shape[1] > 1 else 0):
-        mixed = like @ share
-        new = share * ((counts / mixed) @ like) / counts.sum()
-        moved = np.abs(new - share).max()
-        share = new
-        if moved < 1e-3:
+        factor = (counts / (like @ share)) @ like / total
+        if total * np.log(factor.max()) <= SETTLED:
             break
+        share = share * factor
+        share /= share.sum()
     return share, float((counts * (np.log(like @ share) + top[:, 0])).sum())
 
 
@@ -123,23 +130,30 @@ def select_languages(logs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray,
     """Language indices and shares of the set with the best penalised likelihood, and its log-likelihood an n-gram.
 
     Backward elimination from all languages: the smallest share goes while the likelihood it adds is
-    worth less than half the logarithm of the n-grams.
+    worth less than half the logarithm of the n-grams. Many languages go at once where all of them
+    together add less than one may.
     """
     total = counts.sum()
-    own = np.arange(logs.shape[1])
-    if logs.shape[1] > 8:  # languages far behind the best single one start outside
-        single = counts @ logs
-        own = np.argsort(-single, kind="stable")[:8]
-        own.sort()
-    share, best = mixture(logs[:, own], counts)
     penalty = 0.5 * np.log(max(total, 2))
+    # no mixture gains more over the best single language than this (as in `mixture`); mostly that settles it
+    alone = counts @ logs
+    one = int(np.argmax(alone))
+    if total * np.log((counts @ np.exp(np.minimum(logs - logs[:, one, None], 50.0))).max() / total) <= penalty:
+        return np.array([one]), np.ones(1), alone[one] / total
+    own = np.arange(logs.shape[1])
+    share, best = mixture(logs, counts)
+    many = len(own) // 2
     while len(own) > 1:
-        weakest = int(np.argmin(share))
-        rest = np.delete(own, weakest)
-        less, value = mixture(logs[:, rest], counts)
-        if best - value > penalty:
+        out = np.argsort(share, kind="stable")[: max(1, min(many, len(own) - 1))]
+        rest, begin = np.delete(own, out), np.delete(share, out)
+        less, value = mixture(logs[:, rest], counts, begin + 1e-3 / len(rest))
+        if best - value <= penalty:
+            own, share, best = rest, less, value
+            many = min(many, len(own) // 2)
+        elif len(out) == 1:
             break
-        own, share, best = rest, less, value
+        else:
+            many //= 2
     return own, share, best / total
 
 
@@ -148,12 +162,13 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
 
     lang_pred has the largest share, score is that share. A text that is null or has no letter, and
     any text under a model without languages, is `und` with score 0 and no languages. Equal shares go
-    to the name that sorts first. Only the text is read.
+    to the name that sorts first. Only the text is read. Ids may have any type, repeat or be null; an
+    empty table gives no rows.
     """
     langs, logs = model
     held = docs.sparkSession.sparkContext.broadcast((langs, logs))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("text"))
-    schema = "_id long, lang_pred string, score double, languages array<struct<lang:string,share:double>>, fit double"
+    schema = f"_id {type_of(docs, id_col)}, lang_pred string, score double, languages array<struct<lang:string,share:double>>, fit double"
     kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
