@@ -2,13 +2,14 @@
 
 Patterns are the windows of benchmark items. For patterns of m words, the shift table tells for the
 last two words of a position how far the search may jump; only where it says 0 are the patterns of
-that suffix bucket compared word by word. Items shorter than a window form patterns of their own
-length, each length with its own tables. Positions of many text pieces move in step, in numpy.
+that suffix bucket compared, first by the words' hashes and then, letter by letter, as text. Items
+shorter than a window form patterns of their own length, each length with its own tables. Positions
+of many text pieces move in step, in numpy.
 """
 
 from __future__ import annotations
 
-import hashlib
+import functools
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_view, slices
+from .common import binary_view, discard, materialize, slices, type_of
 from .words import ALNUM, mix
 
 WINDOW = 13
@@ -25,6 +26,8 @@ WINDOW = 13
 TABLE_BITS, PIECE = 20, 384
 #: Words of benchmark text in one set of tables (about 100 MB a worker); larger benchmarks are searched in blocks.
 BLOCK_WORDS = 1_000_000
+#: Every byte as a word's letter or as the blank between words.
+_LETTERS = bytes(32 if ALNUM.sep[i] else int(ALNUM.lower[i]) for i in range(256))
 _MOVE = np.uint64(64 - TABLE_BITS)
 _FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -36,8 +39,8 @@ def _block(before: np.ndarray, last: np.ndarray) -> np.ndarray:
 class Tables:
     """Shift table and suffix buckets of all patterns with m words."""
 
-    def __init__(self, m: int, patterns: np.ndarray, owners: list[list[int]]):
-        self.m, self.owners = m, owners
+    def __init__(self, m: int, patterns: np.ndarray):
+        self.m = m
         size = min(m, 2)
         self.jump = m - size + 1
         self.shift = np.full(1 << TABLE_BITS, self.jump, np.uint8)
@@ -93,60 +96,56 @@ class Matcher:
     """All windows of a block of items. items: (item_id, text as bytes)."""
 
     def __init__(self, items: list[tuple[int, bytes]], window: int = WINDOW):
-        found: dict[int, dict[bytes, tuple[np.ndarray, list[int]]]] = defaultdict(dict)
+        found: dict[int, dict[bytes, tuple[np.ndarray, set[int]]]] = defaultdict(dict)
         for item, text in items:
             h, _, _ = ALNUM.spans(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+            words = text.translate(_LETTERS).split()
             m = min(window, len(h))
             for i in range(len(h) - m + 1 if m else 0):
-                own = found[m].setdefault(h[i : i + m].tobytes(), (h[i : i + m], []))[1]
-                if item not in own:
-                    own.append(item)
-        self.tables = [Tables(m, np.stack([p for p, _ in w.values()]), [o for _, o in w.values()]) for m, w in sorted(found.items())]
-
-    def spans(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, list[int]]]:
-        """First word, number of words and items of every occurrence."""
-        for t in self.tables:
-            start, pattern = t.search(words, bounds)
-            for s, p in zip(start.tolist(), pattern.tolist(), strict=True):
-                yield s, t.m, t.owners[p]
-
-
-def _items_digest(items: set[int]) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
+                found[m].setdefault(b" ".join(words[i : i + m]), (h[i : i + m], set()))[1].add(item)
+        self.tables = [(Tables(m, np.stack([p for p, _ in w.values()])), list(w), [o for _, o in w.values()]) for m, w in sorted(found.items())]
+
+    def spans(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, set[int]]]]:
+        """The first word of each text data[at[i]:at[i+1]], and first word, number of words and items of every occurrence."""
+        words, starts, bounds = ALNUM.spans(data, at)
+        out = []
+        for tables, texts, owners in self.tables:
+            start, pattern = tables.search(words, bounds)
+            if not len(start):
+                continue
+            end = start + tables.m  # the text of an occurrence ends before the next word or with its document
+            owner = np.searchsorted(bounds, start, "right") - 1
+            stop = np.where(end < bounds[owner + 1], starts[np.minimum(end, len(starts) - 1)], at[owner + 1])
+            for s, lo, hi, p in zip(start.tolist(), starts[start].tolist(), stop.tolist(), pattern.tolist(), strict=True):
+                if b" ".join(data[lo:hi].tobytes().translate(_LETTERS).split()) == texts[p]:
+                    out.append((s, tables.m, owners[p]))
+        return bounds, out
 
 
 def find_overlap(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """id_col, n_words, n_hit, items (array of item ids) for every row of docs.
 
-    benchmark has item_id and text. Its tables are broadcast in blocks of at most `block_words` words;
-    a benchmark of several blocks is searched in as many passes, whose spans are merged by document.
+    benchmark has item_id and text. Its items are dealt by hash into blocks of about `block_words`
+    words, of which one at a time is on the driver and broadcast; a benchmark of several blocks is
+    searched in as many passes, whose spans are merged by document.
     Defined cases: a null or empty text has no words; items without words, or without an id, match
-    nothing; repeated items count once; an empty benchmark hits nothing. Words are compared as 64-bit
-    hashes, all words of a window each.
+    nothing; repeated items count once; an empty benchmark hits nothing; ids of docs may have any
+    type, repeat or be null; other columns of both tables are not read.
     """
     named = benchmark.where("item_id is not null and text is not null").select("item_id", F.col("text").cast("binary").alias("text"))
-    blocks = _blocks(named, block_words)
+    n_words = named.agg(F.coalesce(F.sum(F.octet_length("text") / 2 + 1), F.lit(0))).first()[0]  # a word and its blank have two bytes at least
+    blocks = max(1, -(-int(n_words) // block_words))
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
-    if len(blocks) <= 1:
-        sc = docs.sparkSession.sparkContext
-        held = sc.broadcast(blocks[0] if blocks else [])
-        out = rows.mapInArrow(_one_block(held, window), "_id long, n_words long, n_hit long, items array<long>")
+    kind = type_of(docs, id_col)
+    if blocks == 1:
+        held = docs.sparkSession.sparkContext.broadcast(_items(named))
+        out = rows.mapInArrow(_one_block(held, window), f"_id {kind}, n_words long, n_hit long, items array<long>")
         return out.withColumnRenamed("_id", id_col)
-    return _many_blocks(rows, blocks, window).withColumnRenamed("_id", id_col)
+    return _many_blocks(rows, named, blocks, window, kind).withColumnRenamed("_id", id_col)
 
 
-def _blocks(named: DataFrame, most: int) -> list[list[tuple[int, bytes]]]:
-    """The benchmark, streamed to the driver, in blocks by size. Text has two bytes a word at least."""
-    out: list[list[tuple[int, bytes]]] = []
-    room = 0
-    for item, text in named.orderBy("item_id").toLocalIterator():
-        n = len(text) // 2 + 1
-        if not out or room < n:
-            out.append([])
-            room = most
-        out[-1].append((item, bytes(text)))
-        room -= n
-    return out
+def _items(named: DataFrame) -> list[tuple[int, bytes]]:
+    return [(item, bytes(text)) for item, text in named.collect()]
 
 
 def _one_block(held, window: int):
@@ -154,10 +153,10 @@ def _one_block(held, window: int):
         matcher = Matcher(held.value, window)
         for whole in batches:
             for b in slices(whole, "_text"):
-                words, _, bounds = ALNUM.spans(*binary_view(b.column(1)))
-                mark = np.zeros(len(words) + 1, np.int32)
+                bounds, spans = matcher.spans(*binary_view(b.column(1)))
+                mark = np.zeros(int(bounds[-1]) + 1, np.int32)
                 items: dict[int, set[int]] = defaultdict(set)
-                for start, m, own in matcher.spans(words, bounds):
+                for start, m, own in spans:
                     mark[start] += 1
                     mark[start + m] -= 1
                     items[int(np.searchsorted(bounds, start, "right")) - 1].update(own)
@@ -169,37 +168,48 @@ def _one_block(held, window: int):
     return run
 
 
-def _many_blocks(rows: DataFrame, blocks: list[list[tuple[int, bytes]]], window: int) -> DataFrame:
-    """One pass for each block, each giving the merged spans of a document; then a union of spans by document."""
-    sc, parts = rows.sparkSession.sparkContext, None
+def _many_blocks(rows: DataFrame, named: DataFrame, blocks: int, window: int, kind: str) -> DataFrame:
+    """One pass and one written table for each block, with the merged spans of the documents that it hits; then their union by document."""
+    sc, found = rows.sparkSession.sparkContext, []
     keyed = rows.withColumn("_key", F.xxhash64(F.coalesce("_text", F.lit(b""))))
-    for block in blocks:
-        held = sc.broadcast(block)
+    dealt = materialize(named.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks))).repartition("block").sortWithinPartitions("block"), "benchmark")
+    for block in range(blocks):
+        held = sc.broadcast(_items(dealt.where(F.col("block") == block).drop("block")))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(held.value, window)
             for whole in batches:
                 for b in slices(whole, "_text"):
-                    words, _, bounds = ALNUM.spans(*binary_view(b.column(1)))
-                    spans: list[list] = [[] for _ in range(len(b))]
-                    items: list[set[int]] = [set() for _ in range(len(b))]
-                    for start, m, own in matcher.spans(words, bounds):
+                    bounds, occurrences = matcher.spans(*binary_view(b.column(1)))
+                    places: dict[int, set[int]] = defaultdict(set)
+                    items: dict[int, set[int]] = defaultdict(set)
+                    for start, m, own in occurrences:
                         d = int(np.searchsorted(bounds, start, "right")) - 1
-                        spans[d] += range(start - int(bounds[d]), start - int(bounds[d]) + m)
+                        places[d].update(range(start - int(bounds[d]), start - int(bounds[d]) + m))
                         items[d].update(own)
-                    yield pa.record_batch(
-                        [b.column(0), b.column(2), pa.array(np.diff(bounds), pa.int64()), pa.array([sorted(set(s)) for s in spans], pa.list_(pa.int64())), pa.array([sorted(s) for s in items], pa.list_(pa.int64()))],
-                        ["_id", "_key", "n_words", "places", "items"],
-                    )
-
-        one = keyed.select("_id", "_text", "_key").mapInArrow(run, "_id long, _key long, n_words long, places array<long>, items array<long>")
-        one = one.withColumn("_block", F.lit(len(blocks)))
-        parts = one if parts is None else parts.unionAll(one)
-    merged = parts.groupBy("_id", "_key").agg(
-        F.max("n_words").alias("n_words"), (F.count(F.lit(1)) / F.max("_block")).cast("int").alias("_times"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-    return merged.withColumn("_again", F.explode(F.sequence(F.lit(1), "_times"))).select("_id", "n_words", "n_hit", "items")
+                    hit = sorted(places)
+                    lists = pa.list_(pa.int64())
+                    yield pa.record_batch([b.column(2).take(pa.array(hit, pa.int64())), pa.array([sorted(places[d]) for d in hit], lists), pa.array([sorted(items[d]) for d in hit], lists)], ["_key", "places", "items"])
+
+        found.append(materialize(keyed.select("_id", "_text", "_key").mapInArrow(run, "_key long, places array<long>, items array<long>"), "hits"))
+        held.unpersist()
+    discard(dealt)
+    # equal texts have equal hits, so one row for each text is enough
+    every = functools.reduce(DataFrame.unionAll, [f.dropDuplicates(["_key"]) for f in found])
+    merged = every.groupBy("_key").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    )
+    merged = materialize(merged, "hits")
+    discard(*found)
+    short = keyed.select("_id", "_key", "_text").mapInArrow(_count_words, f"_id {kind}, _key long, n_words long")
+    return short.join(merged, "_key", "left").select("_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<bigint>")).alias("items"))
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for b in slices(whole, "_text"):
+            _, _, bounds = ALNUM.spans(*binary_view(b.column(2)))
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(np.diff(bounds), pa.int64())], ["_id", "_key", "n_words"])
 
 
 def contaminated(n_hit: Column, n_words: Column) -> Column:
