@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Codec, Counter, Encoder
-from .common import slices
+from .common import slices, type_of
 
 
 @functools.cache
@@ -38,10 +38,11 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     budgets: adds `cut`, an array with the characters of the longest prefix within each budget.
     prefixes: adds `prefix_tokens`, the exact count of every prefix by characters, entry 0 first.
-    Defined cases: a null text counts as empty; the empty text has no tokens; ids may repeat or be null.
+    Defined cases: a null text counts as empty; the empty text has no tokens; ids may have any type, repeat or
+    be null; other columns are not read; an empty table gives no rows.
     path: a vocabulary file that every worker has.
     """
-    schema, budgets = "_id long, n_bytes long, n_tokens long", budgets or []
+    schema, budgets = f"_id {type_of(docs, id_col)}, n_bytes long, n_tokens long", budgets or []
     schema += (", cut array<int>" if budgets else "") + (", prefix_tokens array<int>" if prefixes else "")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("text"))
 
@@ -62,7 +63,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
 
 def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col and `ids` (array of int) for every row. A null text counts as empty."""
+    """id_col and `ids` (array of int) for every row. A null text counts as empty; ids are as in `count_tokens`."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +71,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         for b, texts in _texts(batches):
             yield pa.record_batch([b.column(0), _lists(list(map(encode, texts)))], ["_id", "ids"])
 
-    return rows.mapInArrow(run, "_id long, ids array<int>").withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(run, f"_id {type_of(docs, id_col)}, ids array<int>").withColumnRenamed("_id", id_col)
 
 
 def _lists(rows: list[bytes]) -> pa.Array:
@@ -87,11 +88,14 @@ def decode_ids(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str
             texts = [None if x is None else own.decode(np.array(x, np.int64)) for x in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(texts, pa.string())], ["_id", "text"])
 
-    return rows.select(F.col(id_col).alias("_id"), ids_col).mapInArrow(run, "_id long, text string").withColumnRenamed("_id", id_col)
+    return rows.select(F.col(id_col).alias("_id"), ids_col).mapInArrow(run, f"_id {type_of(rows, id_col)}, text string").withColumnRenamed("_id", id_col)
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit) and decoded_sha256 for every row, in one pass."""
+    """id_col, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit) and decoded_sha256 for every row, in one pass.
+
+    Defined cases: as in `count_tokens`; the empty text has the digests of no bytes.
+    """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,4 +110,4 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 text_sha.append(hashlib.sha256(own.decode(np.frombuffer(ids, np.uint32)).encode()).hexdigest())
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return rows.mapInArrow(run, "_id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(run, f"_id {type_of(docs, id_col)}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("_id", id_col)
