@@ -22,6 +22,36 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(BLANKS)), UPPER, LOWER)
 
 
+def _marked(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
+    """row (a struct of all columns of docs), lines, and gone: the places, ascending, of the lines that go."""
+    whole = docs.select(F.struct("*").alias("row"))
+    text = F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))
+    whole = whole.withColumns({"id": F.coalesce(F.col(f"row.`{id_col}`").cast("long"), F.lit(_NO_ID)), "print": F.xxhash64(text)})
+    parts = F.split(text, "\n", -1)
+    lines = (
+        whole.select("id", "print", F.posexplode(parts).alias("at", "line"))
+        .withColumn("key", line_key(F.col("line")))
+        .where(F.char_length("key") >= min_chars)
+        .select("id", "print", "at", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
+    )
+    held = lines.groupBy("h1", "h2")
+    if min_docs <= 2:  # smallest and largest holder differ: a combine of two numbers on the map side
+        first = held.agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").drop("last")
+    else:
+        by_doc = lines.select("h1", "h2", "id").distinct().groupBy("h1", "h2")
+        first = by_doc.agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).drop("n")
+    # read back as a table, both sides of the join are plain exchanges, which Spark splits where a line is hot
+    first = materialize(first, "repeated-lines")
+    gone = lines.join(first, ["h1", "h2"]).where("id <> first").groupBy("id", "print").agg(F.array_sort(F.collect_set("at")).alias("gone"))
+    out = whole.join(gone, ["id", "print"], "left")
+    return out.select("row", parts.alias("lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+
+
+def _kept() -> Column:
+    places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    return F.when(F.size("gone") == 0, F.col("lines")).otherwise(F.transform(places, lambda at: F.element_at("lines", at + 1)))
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
     """All columns of docs, with the columns `_lines` (array), `_kept` (array), `_n_dropped` (int) added.
 
@@ -29,48 +59,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     only in the smallest id that holds it. Defined cases: a null or empty text is one empty line;
     all rows without an id count as one document, which comes after all others; rows that repeat an
     id are one document; a document that loses every line keeps the empty text; an empty table
-    gives an empty result. Columns of docs beginning with `_ld_` are not allowed.
+    gives an empty result. Columns of docs named like the three that are added are replaced; others
+    may have any name.
     """
-    spread = docs.withColumn("_ld_id", F.coalesce(F.col(id_col), F.lit(_NO_ID)))
-    parts = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    print_ = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    lines = (
-        spread.select("_ld_id", print_.alias("_ld_text"), F.posexplode(parts).alias("_ld_at", "_ld_line"))
-        .withColumn("_ld_key", line_key(F.col("_ld_line")))
-        .where(F.char_length("_ld_key") >= min_chars)
-        .select("_ld_id", "_ld_text", "_ld_at", F.xxhash64("_ld_key").alias("_ld_h1"), F.xxhash64(F.lit(7), "_ld_key").alias("_ld_h2"))
-    )
-    held = lines.groupBy("_ld_h1", "_ld_h2")
-    if min_docs <= 2:  # smallest and largest holder differ: a combine of two numbers on the map side
-        first = held.agg(F.min("_ld_id").alias("_ld_first"), F.max("_ld_id").alias("_ld_last")).where("_ld_first <> _ld_last").drop("_ld_last")
-    else:
-        by_doc = lines.select("_ld_h1", "_ld_h2", "_ld_id").distinct().groupBy("_ld_h1", "_ld_h2")
-        first = by_doc.agg(F.min("_ld_id").alias("_ld_first"), F.count(F.lit(1)).alias("_ld_docs")).where(F.col("_ld_docs") >= min_docs).drop("_ld_docs")
-    # read back as a table, both sides of the join are plain exchanges, which Spark splits where a line is hot
-    first = materialize(first, "repeated-lines")
-    dropped = (
-        lines.join(first, ["_ld_h1", "_ld_h2"])
-        .where("_ld_id <> _ld_first")
-        .groupBy("_ld_id", "_ld_text")
-        .agg(F.collect_set("_ld_at").alias("_ld_gone"))
-    )
-    whole = spread.withColumn("_ld_text", print_).join(dropped, ["_ld_id", "_ld_text"], "left").withColumn("_lines", parts)
-    gone = F.array_sort(F.coalesce(F.col("_ld_gone"), F.array().cast("array<int>")))
-    places = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_ld_mask"))
-    keep = F.transform(places, lambda at: F.element_at("_lines", at + 1))
-    return (
-        whole.withColumn("_ld_mask", gone)
-        .withColumn("_kept", F.when(F.size("_ld_mask") == 0, F.col("_lines")).otherwise(keep))
-        .withColumn("_n_dropped", F.size("_ld_mask"))
-        .drop("_ld_id", "_ld_text", "_ld_gone", "_ld_mask")
-    )
+    own = [F.col(f"m.row.`{c}`").alias(c) for c in docs.columns if c not in ("_lines", "_kept", "_n_dropped")]
+    marked = _marked(docs, id_col, text_col, min_chars, min_docs).select(F.struct("row", "lines", _kept().alias("kept"), F.size("gone").alias("n")).alias("m"))
+    return marked.select(*own, F.col("m.lines").alias("_lines"), F.col("m.kept").alias("_kept"), F.col("m.n").alias("_n_dropped"))
 
 
-def drop_repeated_lines(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
-    """docs with the text of the lines that stay; a document none of whose lines stay is dropped."""
-    out = dedup_lines(docs, text_col=text_col, **how)
-    return (
-        out.where((F.size("_kept") > 0) | F.col(text_col).isNull())
-        .withColumn(text_col, F.when(F.col("_n_dropped") == 0, F.col(text_col)).otherwise(F.array_join("_kept", "\n")))
-        .select(*docs.columns)
-    )
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
+    """docs with the text of the lines that stay; a document none of whose lines stay is dropped.
+
+    Cases as in `dedup_lines`; a null text stays null. Columns of docs may have any names.
+    """
+    marked = _marked(docs, id_col, text_col, min_chars, min_docs).where("size(gone) < size(lines)")
+    new = F.when(F.size("gone") == 0, F.col(f"row.`{text_col}`")).otherwise(F.array_join(_kept(), "\n"))
+    marked = marked.select(F.struct("row", new.alias("text")).alias("m"))
+    return marked.select(*[F.col("m.text" if c == text_col else f"m.row.`{c}`").alias(c) for c in docs.columns])
