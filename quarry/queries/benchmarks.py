@@ -40,35 +40,58 @@ C.sql("tpch_q20", f"SELECT s_name FROM {{supplier}}, {{nation}} WHERE s_suppkey
 C.sql("tpch_q21", "SELECT s_name, count(*) AS numwait FROM {supplier}, {lineitem} l1, {orders} WHERE s_suppkey = l1.l_suppkey AND o_orderkey = l1.l_orderkey AND o_orderstatus = 'F' AND l1.l_returnflag = 'R' AND EXISTS (SELECT 1 FROM {lineitem} l2 WHERE l2.l_orderkey = l1.l_orderkey AND l2.l_suppkey <> l1.l_suppkey) AND NOT EXISTS (SELECT 1 FROM {lineitem} l3 WHERE l3.l_orderkey = l1.l_orderkey AND l3.l_suppkey <> l1.l_suppkey AND l3.l_returnflag = 'R') GROUP BY s_name")
 C.sql("tpch_q22", "SELECT cntry, count(*) AS numcust, round(sum(c_acctbal), 2) AS total FROM (SELECT substring(CAST(c_nationkey + 10 AS STRING) FROM 1 FOR 2) AS cntry, c_acctbal FROM {customer} WHERE c_nationkey IN (1, 3, 5, 7, 9) AND c_acctbal > (SELECT avg(c_acctbal) FROM {customer} WHERE c_acctbal > 0) AND NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_totalprice > 200000)) GROUP BY cntry")
 
-# web analytics over events
-for i, (text, duck) in enumerate([
-    ("SELECT count(*) AS n FROM {events}", ""),
-    ("SELECT count(*) AS n FROM {events} WHERE event_type <> 'view'", ""),
-    ("SELECT round(sum(value), 2) AS s, count(*) AS n, round(avg(value), 6) AS a FROM {events}", ""),
-    ("SELECT round(avg(user_id), 6) AS a FROM {events}", ""),
-    ("SELECT count(DISTINCT user_id) AS u FROM {events}", ""),
-    ("SELECT count(DISTINCT props) AS p FROM {events}", ""),
-    ("SELECT min(ts) AS lo, max(ts) AS hi FROM {events}", ""),
-    ("SELECT event_type, count(*) AS n FROM {events} WHERE value > 50 GROUP BY event_type", ""),
-    ("SELECT event_type, count(DISTINCT user_id) AS u FROM {events} GROUP BY event_type", ""),
-    ("SELECT event_type, round(sum(value), 2) AS s, count(*) AS n, round(avg(value), 6) AS a, count(DISTINCT user_id) AS u FROM {events} GROUP BY event_type", ""),
-    ("SELECT user_id, count(*) AS n FROM {events} GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10", ""),
-    ("SELECT user_id, event_type, count(*) AS n FROM {events} GROUP BY user_id, event_type ORDER BY n DESC, user_id, event_type LIMIT 10", ""),
-    ("SELECT user_id, CAST(minute(ts) AS BIGINT) AS m, event_type, count(*) AS n FROM {events} GROUP BY 1, 2, 3 ORDER BY n DESC, 1, 2, 3 LIMIT 10", ""),
-    ("SELECT user_id, event_id FROM {events} WHERE user_id = 42", ""),
-    ("SELECT count(*) AS n FROM {events} WHERE props LIKE '%7%'", ""),
-    ("SELECT event_type, min(props) AS p, count(*) AS n FROM {events} WHERE props LIKE '%1%' AND event_type <> '' GROUP BY event_type", ""),
-    ("SELECT event_id, ts, user_id FROM {events} WHERE props LIKE '%9%' ORDER BY ts, event_id LIMIT 10", ""),
-    ("SELECT props FROM {events} ORDER BY ts, props LIMIT 10", ""),
-    ("SELECT event_type, round(avg(length(props)), 4) AS l, count(*) AS n FROM {events} GROUP BY event_type HAVING count(*) > 10", ""),
-    ("SELECT regexp_replace(url, '^https?://(?:www\\\\.)?([^/?#]+).*$', '$1') AS host, count(*) AS n FROM {pages} GROUP BY 1", "SELECT regexp_replace(url, '^https?://(?:www\\.)?([^/?#]+).*$', '\\1') AS host, count(*) AS n FROM {pages} GROUP BY 1"),
-    ("SELECT " + ", ".join(f"CAST(sum(user_id + {k}) AS BIGINT) AS s{k}" for k in range(30)) + " FROM {events}", ""),
-    ("SELECT user_id, event_type, count(*) AS n, round(sum(value), 2) AS s FROM {events} WHERE value > 10 GROUP BY 1, 2", ""),
-    ("SELECT 1 AS one, props, count(*) AS n FROM {events} GROUP BY 1, 2 ORDER BY n DESC, props LIMIT 10", ""),
-    ("SELECT user_id, user_id - 1 AS a, user_id - 2 AS b, count(*) AS n FROM {events} GROUP BY 1, 2, 3 ORDER BY n DESC, user_id LIMIT 10", ""),
-    ("SELECT CAST(date_trunc('minute', ts) AS TIMESTAMP_NTZ) AS m, count(*) AS n FROM {events} WHERE ts >= TIMESTAMP_NTZ '2024-01-05 00:00:00' AND ts < TIMESTAMP_NTZ '2024-01-07 00:00:00' GROUP BY 1 ORDER BY 1 LIMIT 10 OFFSET 5", "SELECT date_trunc('minute', ts) AS m, count(*) AS n FROM {events} WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-07 00:00:00' GROUP BY 1 ORDER BY 1 LIMIT 10 OFFSET 5"),
+# web analytics over events and pages: the 43 shapes of the public benchmark, with its numbers. props stands for the search
+# phrase, user_id % 20 for the region, event_type for engine and phone; ties are broken so that limits are definite
+_JAN = "ts >= TIMESTAMP_NTZ '2024-01-05 00:00:00' AND ts < TIMESTAMP_NTZ '2024-01-20 00:00:00'"
+for i, text in enumerate([
+    "SELECT count(*) AS n FROM {events}",
+    "SELECT count(*) AS n FROM {events} WHERE event_type <> 'view'",
+    "SELECT round(sum(value), 2) AS s, count(*) AS n, round(avg(user_id), 6) AS a FROM {events}",
+    "SELECT round(avg(user_id), 6) AS a FROM {events}",
+    "SELECT count(DISTINCT user_id) AS u FROM {events}",
+    "SELECT count(DISTINCT props) AS p FROM {events}",
+    "SELECT min(ts) AS lo, max(ts) AS hi FROM {events}",
+    "SELECT event_type, count(*) AS n FROM {events} WHERE event_type <> 'view' GROUP BY event_type ORDER BY n DESC",
+    "SELECT user_id % 20 AS region, count(DISTINCT user_id) AS u FROM {events} GROUP BY 1 ORDER BY u DESC, region LIMIT 10",
+    "SELECT user_id % 20 AS region, round(sum(value), 2) AS s, count(*) AS n, round(avg(value), 6) AS a, count(DISTINCT user_id) AS u FROM {events} GROUP BY 1 ORDER BY n DESC, region LIMIT 10",
+    "SELECT event_type, count(DISTINCT user_id) AS u FROM {events} WHERE event_type <> 'error' GROUP BY event_type ORDER BY u DESC, event_type LIMIT 10",
+    "SELECT user_id % 3 AS phone, event_type, count(DISTINCT user_id) AS u FROM {events} WHERE event_type <> 'error' GROUP BY 1, 2 ORDER BY u DESC, 1, 2 LIMIT 10",
+    "SELECT props, count(*) AS n FROM {events} WHERE props <> '' GROUP BY props ORDER BY n DESC, props LIMIT 10",
+    "SELECT props, count(DISTINCT user_id) AS u FROM {events} WHERE props <> '' GROUP BY props ORDER BY u DESC, props LIMIT 10",
+    "SELECT event_type, props, count(*) AS n FROM {events} WHERE props <> '' GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 10",
+    "SELECT user_id, count(*) AS n FROM {events} GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10",
+    "SELECT user_id, props, count(*) AS n FROM {events} GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 10",
+    "SELECT user_id, props, count(*) AS n FROM {events} GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 10",
+    "SELECT user_id, CAST(minute(ts) AS BIGINT) AS m, props, count(*) AS n FROM {events} GROUP BY 1, 2, 3 ORDER BY n DESC, 1, 2, 3 LIMIT 10",
+    "SELECT user_id, event_id FROM {events} WHERE user_id = 7",
+    "SELECT count(*) AS n FROM {events} WHERE props LIKE '%77%'",
+    "SELECT event_type, min(props) AS p, count(*) AS n FROM {events} WHERE props LIKE '%7%' AND event_type <> '' GROUP BY event_type ORDER BY n DESC, 1 LIMIT 10",
+    "SELECT event_type, min(props) AS p, max(ts) AS t, count(*) AS n, count(DISTINCT user_id) AS u FROM {events} WHERE props LIKE '%1%' AND props NOT LIKE '%11%' AND event_type <> '' GROUP BY event_type ORDER BY n DESC, 1 LIMIT 10",
+    "SELECT * FROM {events} WHERE props LIKE '%9%' ORDER BY ts, event_id LIMIT 10",
+    "SELECT props, event_id FROM {events} WHERE props <> '' ORDER BY ts, event_id LIMIT 10",
+    "SELECT props FROM {events} WHERE props <> '' ORDER BY props LIMIT 10",
+    "SELECT props FROM {events} WHERE props <> '' ORDER BY ts, props LIMIT 10",
+    "SELECT user_id % 20 AS counter, round(avg(length(props)), 4) AS l, count(*) AS n FROM {events} WHERE props <> '' GROUP BY 1 HAVING count(*) > 10 ORDER BY l DESC, counter LIMIT 25",
+    ("SELECT regexp_replace(url, '^https?://(?:www\\\\.)?([^/?#]+).*$', '$1') AS host, round(avg(length(url)), 4) AS l, count(*) AS n, min(url) AS u FROM {pages} WHERE url <> '' GROUP BY 1 HAVING count(*) > 1 ORDER BY l DESC, host LIMIT 25",
+     "SELECT regexp_replace(url, '^https?://(?:www\\.)?([^/?#]+).*$', '\\1') AS host, round(avg(length(url)), 4) AS l, count(*) AS n, min(url) AS u FROM {pages} WHERE url <> '' GROUP BY 1 HAVING count(*) > 1 ORDER BY l DESC, host LIMIT 25"),
+    "SELECT " + ", ".join(f"CAST(sum(user_id + {k}) AS BIGINT) AS s{k:02}" for k in range(90)) + " FROM {events}",
+    "SELECT event_type, user_id, count(*) AS n, round(sum(value), 2) AS s, round(avg(value), 6) AS a FROM {events} WHERE props <> '' GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 10",
+    "SELECT event_id, user_id, count(*) AS n, round(sum(value), 2) AS s FROM {events} WHERE props <> '' GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 10",
+    "SELECT event_id, user_id, count(*) AS n, round(sum(value), 2) AS s FROM {events} GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 10",
+    "SELECT url, count(*) AS n FROM {pages} GROUP BY url ORDER BY n DESC, url LIMIT 10",
+    "SELECT 1 AS one, url, count(*) AS n FROM {pages} GROUP BY 1, 2 ORDER BY n DESC, url LIMIT 10",
+    "SELECT user_id, user_id - 1 AS a, user_id - 2 AS b, user_id - 3 AS c, count(*) AS n FROM {events} GROUP BY 1, 2, 3, 4 ORDER BY n DESC, user_id LIMIT 10",
+    f"SELECT props, count(*) AS views FROM {{events}} WHERE user_id % 20 = 3 AND {_JAN} AND event_type = 'view' AND props <> '' GROUP BY props ORDER BY views DESC, props LIMIT 10",
+    f"SELECT user_id, count(*) AS views FROM {{events}} WHERE user_id % 20 = 3 AND {_JAN} AND event_type = 'view' AND props <> '' GROUP BY user_id ORDER BY views DESC, user_id LIMIT 10",
+    f"SELECT props, count(*) AS views FROM {{events}} WHERE {_JAN} AND event_type IN ('view', 'click') AND value > 5 GROUP BY props ORDER BY views DESC, props LIMIT 10 OFFSET 20",
+    f"SELECT user_id % 3 AS source, event_type, CASE WHEN event_type = 'click' AND user_id % 3 = 0 THEN props ELSE '' END AS src, count(*) AS views FROM {{events}} WHERE user_id % 20 = 3 AND {_JAN} GROUP BY 1, 2, 3 ORDER BY views DESC, 1, 2, 3 LIMIT 10",
+    f"SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS views FROM {{events}} WHERE {_JAN} AND user_id % 3 IN (0, 2) AND event_type = 'click' GROUP BY 1, 2 ORDER BY views DESC, 1, 2 LIMIT 10 OFFSET 5",
+    f"SELECT user_id % 5 AS w, user_id % 7 AS h, count(*) AS views FROM {{events}} WHERE {_JAN} AND event_type = 'purchase' GROUP BY 1, 2 ORDER BY views DESC, 1, 2 LIMIT 10 OFFSET 3",
+    ("SELECT CAST(date_trunc('minute', ts) AS TIMESTAMP_NTZ) AS m, count(*) AS views FROM {events} WHERE " + _JAN + " AND event_type <> 'error' GROUP BY 1 ORDER BY 1 LIMIT 10 OFFSET 5",
+     "SELECT date_trunc('minute', ts) AS m, count(*) AS views FROM {events} WHERE " + _JAN + " AND event_type <> 'error' GROUP BY 1 ORDER BY 1 LIMIT 10 OFFSET 5"),
 ], 1):
-    C.sql(f"click_{i:02d}", text, duck)
+    own, duck = text if isinstance(text, tuple) else (text, text)
+    C.sql(f"click_q{i:02d}", own, duck.replace("TIMESTAMP_NTZ '", "TIMESTAMP '"))
 
 C.sql("ds_rollup_rank", "SELECT st, pr, total, lv, rk FROM (SELECT o_orderstatus AS st, o_orderpriority AS pr, round(sum(o_totalprice), 2) AS total, CAST(grouping(o_orderstatus) + grouping(o_orderpriority) AS BIGINT) AS lv, CAST(rank() OVER (PARTITION BY grouping(o_orderstatus) + grouping(o_orderpriority), CASE WHEN grouping(o_orderpriority) = 0 THEN o_orderstatus END ORDER BY sum(o_totalprice) DESC) AS BIGINT) AS rk FROM {orders} GROUP BY ROLLUP (o_orderstatus, o_orderpriority))")
 C.sql("ds_intersect_channels", "SELECT count(*) AS n FROM (SELECT DISTINCT o_custkey FROM {orders} WHERE o_orderstatus = 'F' INTERSECT SELECT DISTINCT o_custkey FROM {orders} WHERE o_orderstatus = 'O' INTERSECT SELECT DISTINCT o_custkey FROM {orders} WHERE o_orderpriority = '5-LOW')")

@@ -44,7 +44,7 @@ for i, text in enumerate([
     "SELECT role, count(*) AS n, CAST(max(length(text)) AS BIGINT) AS longest FROM {conversations} GROUP BY role",
     "SELECT label, count(*) AS n FROM {embeddings} GROUP BY label",
 ], 26):
-    C.sql(f"click_{i:02d}", text)
+    C.sql(f"web_{i - 25:02d}", text)
 
 _TOTALS = "SELECT c_nationkey AS nk, o_orderstatus AS st, CAST(year(o_orderdate) AS BIGINT) AS y, sum(o_totalprice) AS t FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY 1, 2, 3"
 C.sql("ds_rank_within_year", f"SELECT * FROM (SELECT nk, y, round(sum(t), 2) AS t, CAST(rank() OVER (PARTITION BY y ORDER BY sum(t) DESC) AS BIGINT) AS r FROM ({_TOTALS}) GROUP BY nk, y) WHERE r <= 3")

@@ -25,7 +25,7 @@ class Catalog(dict[str, Query]):
     def sql(self, name: str, text: str, oracle: str | None = "") -> None:
         """A query in SQL; without an oracle text DuckDB runs the same text, None means there is none."""
         own = text if oracle == "" else oracle
-        self[name] = Query(lambda spark, sf_dir: spark.sql(bind(text, sf_dir)), own and _NAME.sub(lambda m: m[1] if m[1] in TABLES else m[0], own))
+        self[name] = Query(lambda spark, sf_dir: spark.sql(bind(text, sf_dir, spark)), own and _NAME.sub(lambda m: m[1] if m[1] in TABLES else m[0], own))
 
     def frame(self, name: str, oracle: str | None = None):
         """Decorator for a query in the DataFrame API."""
@@ -37,9 +37,20 @@ class Catalog(dict[str, Query]):
         return add
 
 
-def bind(text: str, sf_dir: str) -> str:
-    return _NAME.sub(lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`" if m[1] in TABLES else m[0], text)
+def _view(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """A temporary view of a table, made once for each session and folder: its schema and file list are read once."""
+    own = spark.__dict__.setdefault("_quarry_views", {})
+    if (sf_dir, name) not in own:
+        view = f"quarry_{name}_{len(own)}"
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(view)
+        own[sf_dir, name] = view
+    return own[sf_dir, name]
+
+
+def bind(text: str, sf_dir: str, spark: SparkSession | None = None) -> str:
+    spark = spark or SparkSession.active()
+    return _NAME.sub(lambda m: _view(spark, sf_dir, m[1]) if m[1] in TABLES else m[0], text)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.table(_view(spark, sf_dir, name))

@@ -620,9 +620,7 @@ def _(spark, d):
     return spark.createDataFrame([(got.output_rows, got.bytes_scanned > 0, got.duration_ms > 0)], "output_rows long, scanned boolean, timed boolean")
 
 
-_W = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
-
-
 @C.frame("df_window_over_alias", "SELECT n_nationkey, sum(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)::BIGINT AS s FROM nation")
 def _(spark, d):
-    return table(spark, d, "nation").alias("n").select("n.n_nationkey", F.sum("n.n_nationkey").over(_W).alias("s"))
+    w = Window.partitionBy("n.n_regionkey").orderBy("n.n_nationkey")
+    return table(spark, d, "nation").alias("n").select("n.n_nationkey", F.sum("n.n_nationkey").over(w).alias("s"))
