@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 MAX_ROUNDS = 40
 #: So many edges (8 MB) are joined by one task; more of them by rounds over all tasks, with the same result.
@@ -34,7 +34,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        now = materialize(small.select("e.a", "e.b").where("a <> b").distinct(), "cc")
+        before, now = now, materialize(small.select("e.a", "e.b").where("a <> b").distinct(), "cc")
+        discard(before)
         new = _mark(now)
         if new == mark:
             break

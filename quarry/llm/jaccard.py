@@ -13,6 +13,7 @@ Shingles are compared as 64-bit hashes.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_view, materialize, slices
+from .common import binary_view, discard, materialize, slices, whole_groups
 from .components import connected_components
 from .words import BLANKS, mix, shingles
 
@@ -96,12 +97,13 @@ def _repeated(held: list[np.ndarray]) -> pa.RecordBatch:
 def _frequent(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The frequent shingles, sorted, and their counts: a list of bounded size, as the threshold rises with the corpus."""
     sums = found.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_FROM)
-    sums = materialize(sums, "frequent")
+    sums = materialize(sums, "frequent")  # a sum for each shingle that repeats within a gathering
     steps = [FREQUENT_FROM << i for i in range(40)]
     over = sums.agg(*[F.count_if(F.col("n") >= s).alias(f"s{i}") for i, s in enumerate(steps)]).first()
     least = next(s for s, c in zip(steps, over, strict=True) if c <= FREQUENT_MOST)
     got = sums.where(F.col("n") >= least).toArrow()
     key, n = got.column("a").to_numpy().view(np.uint64), got.column("n").to_numpy()
+    discard(sums)
     order = np.argsort(key)
     return key[order], n[order]
 
@@ -144,12 +146,19 @@ def prefix_rows(docs: DataFrame, frequent, k: int, num: int, den: int, id_col: s
 
 
 def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows in the order of key and class, the keys of more than one class; hot rows pass."""
+    """From rows in the order of key and class, the keys of more than one class; hot rows pass, each once."""
     last_key = last_cls = None
+    last_hot = None
     waiting = False  # the last row so far is alone with its key
     for b in batches:
         key, cls, hot = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        out_k, out_c = [key[hot]], [cls[hot]]
+        hot_key, hot_cls = key[hot], cls[hot]
+        once = np.ones(len(hot_key), bool)  # copies of a text in several tasks give the same rows
+        once[1:] = (hot_key[1:] != hot_key[:-1]) | (hot_cls[1:] != hot_cls[:-1])
+        if len(hot_key):
+            once[0] = (hot_key[0], hot_cls[0]) != last_hot
+            last_hot = (hot_key[-1], hot_cls[-1])
+        out_k, out_c = [hot_key[once]], [hot_cls[once]]
         key, cls = key[~hot], cls[~hot]
         if len(key):
             if last_key is not None:
@@ -259,28 +268,11 @@ def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(x) + len(y) - both)
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches cut anew so that rows with one value in the first column, which follow one another, stay together."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        held.append(b)
-        name = b.column(0).to_numpy()
-        if name[0] == name[-1] and held[0].column(0)[0].as_py() == name[0]:
-            continue
-        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        name = whole.column(0).to_numpy()
-        end = int(np.flatnonzero(name != name[-1])[-1]) + 1
-        yield whole.slice(0, end)
-        held = [whole.slice(end)]
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 def _small_pairs(num: int, den: int):
     """From rows key, cls, n of tiles of bounded size: the pairs whose sizes can reach the similarity, a > b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _whole_groups(batches):
+        for b in whole_groups(batches):
             key, cls, n = (c.to_numpy() for c in b.columns)
             edge = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(b)]])
             found = [np.empty((2, 0), np.int64)]
@@ -342,7 +334,7 @@ def _tile_pairs(num: int, den: int, best: bool):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _whole_groups(batches):
+        for b in whole_groups(batches):
             yield from emit(b)
 
     def emit(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -453,35 +445,45 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     dealt = prefixes.repartition(F.when(F.col("hot"), F.col("cls")).otherwise(F.col("key"))).sortWithinPartitions("key", "cls")
     meet = materialize(dealt.mapInArrow(_shared_only, "key long, cls long"), "meet")
 
-    signed = found.where("kind = 0").join(meet.select(F.col("cls").alias("b")).distinct(), "b", "left_semi")
-    signed = materialize(signed.groupBy(F.col("b").alias("cls")).agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("wide").alias("wide")), "signatures")
-    wide, signed = signed.select("cls", "n", F.coalesce("wide", "sig").alias("sig")), signed.drop("wide")
+    # one row for each class first: copies of a text would all meet in one task of the join
+    named = found.where("kind = 0").groupBy(F.col("b").alias("cls")).agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("wide").alias("wide"))
+    marks = materialize(named.join(meet.select("cls").distinct(), "cls", "left_semi"), "signatures")
+    wide, signed = marks.select("cls", "n", F.coalesce("wide", "sig").alias("sig")), marks.drop("wide")
     large = materialize(meet.groupBy("key").agg(F.count(F.lit(1)).alias("g")).where(F.col("g") > SMALL), "large-keys")
     slim = meet.join(large, "key", "left_anti").join(signed.select("cls", "n"), "cls").select("key", "cls", "n")
     small = slim.repartition("key").sortWithinPartitions("key").mapInArrow(_small_pairs(num, den), "a long, b long").distinct()
     small = small.join(wide.withColumnRenamed("cls", "a"), "a").join(wide.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("sig").alias("sig2")), "b")
     small = materialize(small.select("a", "b", "n", "sig", "m", "sig2").mapInArrow(_bounded(num, den), _PAIRS), "pairs")
     big = materialize(meet.join(large, "key").join(signed, "cls"), "large")
+    discard(meet, large)
 
     # each class with its most promising partner first; a class without one that the bounds allow is done
     first = materialize(_top(small.unionAll(_best(_tiles(big.withColumn("comp", F.col("cls")), num, den), num, den))), "pairs")
     near = materialize(first.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "near")
     sets = materialize(_fetch_sets(docs, near, k, text_col), "sets")
-    big = materialize(big.join(near, "cls", "left_semi"), "large")
-    links = materialize(_verify(first, sets, num, den), "links")
-    comps = materialize(connected_components(links), "components")
+    all_big, big = big, materialize(big.join(near, "cls", "left_semi"), "large")
+    links = [materialize(_verify(first, sets, num, den), "links")]
+    discard(marks, near, all_big, first)
+    comps = materialize(connected_components(links[0]), "components")
     for last in (False, True):  # partners in other components: once more the best of each class, then all
         apart = _apart(small, comps)
-        tiles = _tiles(_still_open(big, comps), num, den)
+        open_ = _still_open(big, comps)
+        tiles = _tiles(open_, num, den)
         pairs = apart.unionAll(_every(tiles, num, den)).select("a", "b").distinct() if last else _top(apart.unionAll(_best(tiles, num, den)))
-        more = materialize(_verify(materialize(pairs, "pairs"), sets, num, den), "links")
+        pairs = materialize(pairs, "pairs")
+        more = materialize(_verify(pairs, sets, num, den), "links")
+        discard(open_, pairs)
         if more.isEmpty():
+            discard(more)
             continue
-        links = links.unionAll(more)
-        comps = materialize(connected_components(links), "components")
+        links.append(more)
+        before, comps = comps, materialize(connected_components(functools.reduce(DataFrame.unionAll, links)), "components")
+        discard(before)
+    discard(small, big, sets, *links)
 
+    # tables on both sides of each join, so that Spark can split the copies of one text and a large component
     named = rows.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    lowest = named.where("n_shingles > 0").groupBy("root").agg(F.min(id_col).alias("low"))
+    lowest = materialize(named.where("n_shingles > 0").groupBy("root").agg(F.min(id_col).alias("low")), "lowest")
     out = named.join(lowest, "root", "left")
     return out.select(id_col, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("low")).otherwise(F.col(id_col)).alias("component_id"))
 
