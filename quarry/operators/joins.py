@@ -29,13 +29,15 @@ def salted_join(skewed: DataFrame, other: DataFrame, key: str, salts: int = 16,
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: str, on: str, take: list[str], direction: str = "backward", tolerance: str | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: str, on: str, take: list[str], direction: str = "backward", tolerance: str | None = None, cut: str | None = None) -> DataFrame:
     """Each row of `left` with the columns `take` of the nearest row of `right` of the same key.
 
     backward: the last with right.on <= left.on; forward: the first with right.on >= left.on. The two
     sides are laid into one stream by time and the nearest row is carried along, so a key costs one
     sort, not a product. Among right rows of one time the greatest `take` wins. tolerance: an SQL
-    interval beyond which nothing matches. Rows with a null key or time match nothing.
+    interval beyond which nothing matches. Rows with a null key or time match nothing. cut: a unit of
+    date_trunc by which each key's time is cut, so that a key with very many rows is sorted by many
+    tasks; the nearest row from the cuts before comes to each cut as one row.
     """
     back = direction == "backward"
     one = left.select(F.col(by).alias("_by"), F.col(on).alias("_on"), F.lit(1 if back else 0).alias("_side"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.select(F.struct(F.col(on).alias("_t"), *take)).schema[0].dataType).alias("_hit"))
@@ -43,9 +45,17 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, on: str, take: list[st
     two = two.select("_by", "_on", F.lit(0 if back else 1).alias("_side"), F.lit(None).cast(one.schema["_row"].dataType).alias("_row"), "_hit")
     # forward is the same running frame over descending time, so both are linear in the rows
     order = [F.col("_on"), F.col("_side")] if back else [F.desc("_on"), F.desc("_side")]
-    running = Window.partitionBy("_by").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hit = F.last("_hit", ignorenulls=True).over(running)
-    out = one.unionByName(two).withColumn("_hit", hit).where(F.col("_row").isNotNull())
+    rows, keys = one.unionByName(two), ["_by"]
+    if cut:
+        rows, keys = rows.withColumn("_cut", F.date_trunc(cut, "_on")), ["_by", "_cut"]
+        far = F.max if back else F.min
+        ends = rows.groupBy(*keys).agg(far("_hit").alias("_end"))  # a row for each key and cut
+        before = Window.partitionBy("_by").orderBy(F.col("_cut") if back else F.desc("_cut")).rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.select(*keys, F.last("_end", ignorenulls=True).over(before).alias("_end"))
+    running = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = rows.withColumn("_hit", F.last("_hit", ignorenulls=True).over(running)).where(F.col("_row").isNotNull())
+    if cut:
+        out = out.join(ends, keys, "left").withColumn("_hit", F.coalesce("_hit", "_end"))
     sound = F.col("_by").isNotNull() & F.col("_on").isNotNull()
     if tolerance:
         near = F.expr(f"_hit._t >= _on - {tolerance}" if back else f"_hit._t <= _on + {tolerance}")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation
@@ -38,22 +39,26 @@ class QueryStats:
 
 
 def run_with_stats(df: DataFrame) -> QueryStats:
-    """Run df without keeping its rows, and return time, rows and the executed plan's metrics."""
-    seen = Observation("rows")
+    """Run df without keeping its rows, and return time, rows, the bytes that its tasks read from files, and the executed plan's metrics."""
+    seen, sc = Observation("rows"), df.sparkSession.sparkContext
+    group = f"stats-{uuid.uuid4().hex}"
+    before = sc.getLocalProperty("spark.jobGroup.id")
+    sc.setJobGroup(group, "run_with_stats")
     began = time.perf_counter()
     watched = df.observe(seen, F.count(F.lit(1)).alias("n"))
-    watched.write.format("noop").mode("overwrite").save()
+    try:
+        watched.write.format("noop").mode("overwrite").save()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", before)
     took = (time.perf_counter() - began) * 1000
-    plan = df._jdf.queryExecution().optimizedPlan()
-    scanned = sum(int(str(leaf.stats().sizeInBytes())) for leaf in _leaves(plan))
-    return QueryStats(took, int(seen.get["n"]), scanned, _metrics(watched))
+    return QueryStats(took, int(seen.get["n"]), _bytes_read(sc, group), _metrics(watched))
 
 
-def _leaves(plan) -> list:
-    got, it = [], plan.collectLeaves().iterator()
-    while it.hasNext():
-        got.append(it.next())
-    return got
+def _bytes_read(sc, group: str) -> int:
+    jvm = sc._jsc.sc()
+    jvm.listenerBus().waitUntilEmpty(30_000)
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup(group) for s in sc.statusTracker().getJobInfo(j).stageIds}
+    return sum(int(jvm.statusStore().lastStageAttempt(s).inputBytes()) for s in stages)
 
 
 def _metrics(df: DataFrame) -> dict[str, int]:

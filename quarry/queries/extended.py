@@ -23,51 +23,51 @@ def _(spark, d):
 
 @C.frame("stream_tumbling_append", f"SELECT strftime({_DAY}, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1, {_DAY} HAVING {_DAY} + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
 def _(spark, d):  # windows that the watermark has not passed stay open
-    out = S.run_to_memory(S.tumbling(S.file_stream(spark, d, "events", "ts"), "ts", "1 day", []))
+    out = S.run_stored(S.tumbling(S.file_stream(spark, d, "events", "ts"), "ts", "1 day", []))
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n")
 
 
 @C.frame("stream_sliding", "SELECT strftime(w, '%Y-%m-%d %H') AS start, count(*) AS n FROM (SELECT unnest([date_trunc('day', ts) + INTERVAL 12 HOUR * (hour(ts) // 12), date_trunc('day', ts) + INTERVAL 12 HOUR * (hour(ts) // 12 - 1)]) AS w FROM events) GROUP BY 1")
 def _(spark, d):
-    out = S.run_to_memory(S.sliding(S.file_stream(spark, d, "events", "ts"), "ts", "1 day", "12 hours", []), "complete")
+    out = S.run_stored(S.sliding(S.file_stream(spark, d, "events", "ts"), "ts", "1 day", "12 hours", []), "complete")
     return out.select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "n")
 
 
 @C.frame("stream_session", """SELECT user_id, n, count(*) AS sessions FROM (SELECT user_id, s, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM
   (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY 1, 2) GROUP BY 1, 2""")
 def _(spark, d):
-    out = S.run_to_memory(S.sessions(S.file_stream(spark, d, "events", "ts"), "ts", "6 hours", "user_id"), "complete")
+    out = S.run_stored(S.sessions(S.file_stream(spark, d, "events", "ts"), "ts", "6 hours", "user_id"), "complete")
     return out.groupBy("user_id", "n").agg(F.count("*").alias("sessions"))
 
 
 @C.frame("stream_dedup", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1, 2")
 def _(spark, d):
-    out = S.run_to_memory(S.deduplicated(S.file_stream(spark, d, "events").select("user_id", "event_type"), ["user_id", "event_type"]))
+    out = S.run_stored(S.deduplicated(S.file_stream(spark, d, "events").select("user_id", "event_type"), ["user_id", "event_type"]))
     return out.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
 @C.frame("stream_dedup_watermark", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1, 2")
 def _(spark, d):  # all events of a type and user lie within the 60 days, so one of each is left
-    out = S.run_to_memory(S.deduplicated(S.file_stream(spark, d, "events", "ts"), ["user_id", "event_type"], "ts", "60 days"))
+    out = S.run_stored(S.deduplicated(S.file_stream(spark, d, "events", "ts"), ["user_id", "event_type"], "ts", "60 days"))
     return out.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
 @C.frame("stream_static_join", "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
 def _(spark, d):
     joined = S.file_stream(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return S.run_to_memory(joined.groupBy("n_name").agg(F.count("*").alias("n")), "complete")
+    return S.run_stored(joined.groupBy("n_name").agg(F.count("*").alias("n")), "complete")
 
 
 @C.frame("stream_stream_join", "SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 2 HOUR WHERE a.event_type = 'purchase' AND b.event_type = 'view'")
 def _(spark, d):
     e = S.file_stream(spark, d, "events", "ts")
     joined = S.interval_join(e.where("event_type = 'purchase'"), S.file_stream(spark, d, "events", "ts").where("event_type = 'view'"), "user_id", "ts", "ts", "2 HOURS")
-    return S.run_to_memory(joined.selectExpr("l.event_id AS a", "r.event_id AS b"))
+    return S.run_stored(joined.selectExpr("l.event_id AS a", "r.event_id AS b"))
 
 
 @C.frame("stream_custom_state", "SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id")
 def _(spark, d):
-    out = S.run_to_memory(S.running_totals(S.file_stream(spark, d, "events"), "user_id", "value"), "update")
+    out = S.run_stored(S.running_totals(S.file_stream(spark, d, "events"), "user_id", "value"), "update")
     return out.groupBy("user_id").agg(F.max("n").alias("n"), F.max_by(F.round("total", 4), "n").alias("total"))
 
 

@@ -68,6 +68,22 @@ def _(spark, d):
     return J.asof_join(e.where("event_type = 'purchase'"), clicks, "user_id", "ts", ["next_id"], direction="forward").select("event_id", "next_id")
 
 
+@C.frame("join_asof_cut", """SELECT p.event_id, v.event_id AS view_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+  ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'view' GROUP BY 1, 2) v ON p.user_id = v.user_id AND p.ts >= v.ts""")
+def _(spark, d):
+    e = table(spark, d, "events")
+    views = e.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("view_id"))
+    return J.asof_join(e.where("event_type = 'purchase'"), views, "user_id", "ts", ["view_id"], cut="day").select("event_id", "view_id")
+
+
+@C.frame("join_asof_forward_cut", """SELECT p.event_id, v.event_id AS next_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p
+  ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'click' GROUP BY 1, 2) v ON p.user_id = v.user_id AND p.ts <= v.ts""")
+def _(spark, d):
+    e = table(spark, d, "events")
+    clicks = e.where("event_type = 'click'").select("user_id", "ts", F.col("event_id").alias("next_id"))
+    return J.asof_join(e.where("event_type = 'purchase'"), clicks, "user_id", "ts", ["next_id"], direction="forward", cut="week").select("event_id", "next_id")
+
+
 @C.frame("join_range", "SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 6 HOUR WHERE a.event_type = 'purchase'")
 def _(spark, d):
     e = table(spark, d, "events").select("user_id", "event_id", "ts", "event_type")

@@ -499,7 +499,7 @@ def _(spark, d):
     source = _folder(spark, "spool")
     table(spark, d, "orders").select("o_orderkey", "o_orderstatus").write.json(source)
     out = S.spool_stream(spark, source, "o_orderkey long, o_orderstatus string").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
-    return S.run_to_memory(out, "complete")
+    return S.run_stored(out, "complete")
 
 
 @C.frame("stream_rate_source", "SELECT * FROM (VALUES ('timestamp', 'timestamp'), ('value', 'bigint')) AS t(name, kind)")
@@ -525,7 +525,7 @@ def _(spark, d):
 
 @C.frame("stream_transform_with_state", "SELECT user_id, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1")
 def _(spark, d):
-    out = S.run_to_memory(S.latest_by_key(S.file_stream(spark, d, "events").select("user_id", "event_id"), "user_id", "event_id"), "append")
+    out = S.run_stored(S.latest_by_key(S.file_stream(spark, d, "events").select("user_id", "event_id"), "user_id", "event_id"), "append")
     return out.groupBy("user_id").agg(F.max("n").alias("n"), F.max("last").alias("last"))
 
 

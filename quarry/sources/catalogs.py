@@ -155,6 +155,98 @@ class RestCatalog:
         raise NotImplementedError("this catalog is read-only")
 
 
+class HiveCatalog:
+    """The session's own catalog, which is the Hive metastore in a session with Hive support; by namespaces and tables."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def list_namespaces(self) -> list[str]:
+        return sorted(d.name for d in self.spark.catalog.listDatabases())
+
+    def list_tables(self, namespace: str) -> list[str]:
+        return sorted(t.name for t in self.spark.catalog.listTables(namespace) if not t.isTemporary)
+
+    def load_table(self, namespace: str, table: str) -> TableInfo:
+        if not self.table_exists(namespace, table):
+            raise TableNotFound(f"{namespace}.{table}")
+        rows = {r.col_name: r.data_type for r in self.spark.sql(f"DESCRIBE EXTENDED `{namespace}`.`{table}`").collect()}
+        return TableInfo(rows["Location"], (rows.get("Provider") or "parquet").lower(), schema=self.spark.table(f"`{namespace}`.`{table}`").schema)
+
+    def table_exists(self, namespace: str, table: str) -> bool:
+        return self.spark.catalog.tableExists(f"`{namespace}`.`{table}`")
+
+    def namespace_exists(self, namespace: str) -> bool:
+        return self.spark.catalog.databaseExists(namespace)
+
+    def create_table(self, namespace: str, table: str, schema: T.StructType, fmt: str = "parquet") -> TableInfo:
+        self.spark.createDataFrame([], schema).write.format(fmt).saveAsTable(f"`{namespace}`.`{table}`")
+        return self.load_table(namespace, table)
+
+
+class GlueCatalog:
+    """A catalog behind the Glue API. client: an object with get_databases, get_tables, get_table and create_table, as the public SDK's client has them."""
+
+    #: The serialisation classes by which tables name their formats.
+    FORMATS = {"parquet": "parquet", "orc": "orc", "json": "json", "opencsv": "csv", "lazysimple": "csv"}
+
+    def __init__(self, client, base: str | None = None):
+        self.client, self.base = client, base
+
+    def _pages(self, call, field: str, **args) -> list[dict]:
+        out, token = [], None
+        while True:
+            got = call(**args, **({"NextToken": token} if token else {}))
+            out += got[field]
+            token = got.get("NextToken")
+            if not token:
+                return out
+
+    def list_namespaces(self) -> list[str]:
+        return sorted(d["Name"] for d in self._pages(self.client.get_databases, "DatabaseList"))
+
+    def list_tables(self, namespace: str) -> list[str]:
+        return sorted(t["Name"] for t in self._pages(self.client.get_tables, "TableList", DatabaseName=namespace))
+
+    def load_table(self, namespace: str, table: str) -> TableInfo:
+        try:
+            t = self.client.get_table(DatabaseName=namespace, Name=table)["Table"]
+        except Exception as e:
+            if type(e).__name__ == "EntityNotFoundException":
+                raise TableNotFound(f"{namespace}.{table}") from e
+            raise
+        where, kind = t["StorageDescriptor"], t.get("Parameters", {})
+        if kind.get("table_type", "").upper() == "ICEBERG":
+            return TableInfo(where["Location"], "iceberg")
+        if kind.get("spark.sql.sources.provider") == "delta":
+            return TableInfo(where["Location"], "delta")
+        serde = where.get("SerdeInfo", {}).get("SerializationLibrary", "").lower()
+        fmt = next((f for part, f in self.FORMATS.items() if part in serde), "parquet")
+        cols = ", ".join(f"`{c['Name']}` {c['Type']}" for c in [*where["Columns"], *t.get("PartitionKeys", [])])
+        return TableInfo(where["Location"], fmt, schema=T._parse_datatype_string(cols) if cols else None)
+
+    def table_exists(self, namespace: str, table: str) -> bool:
+        try:
+            self.load_table(namespace, table)
+        except TableNotFound:
+            return False
+        return True
+
+    def namespace_exists(self, namespace: str) -> bool:
+        return namespace in self.list_namespaces()
+
+    def create_table(self, namespace: str, table: str, schema: T.StructType, fmt: str = "parquet") -> TableInfo:
+        if self.base is None:
+            raise ValueError("no base folder for new tables")
+        if self.table_exists(namespace, table):
+            raise ValueError(f"{namespace}.{table} exists")
+        info = TableInfo(f"{self.base}/{namespace}/{table}", fmt, schema=schema)
+        serde = {f: part for part, f in self.FORMATS.items()}[fmt]
+        columns = [{"Name": f.name, "Type": f.dataType.simpleString()} for f in schema.fields]
+        self.client.create_table(DatabaseName=namespace, TableInput={"Name": table, "StorageDescriptor": {"Columns": columns, "Location": info.location, "SerdeInfo": {"SerializationLibrary": serde}}, "Parameters": {}})
+        return info
+
+
 class Registry:
     """Catalogs by name, the current catalog and namespace, and three-part names resolved when they are used."""
 
@@ -168,7 +260,7 @@ class Registry:
         self.providers[name] = provider
 
     def configure(self) -> None:
-        """Add providers from `spark.sql.catalog.<name>.type` settings: memory, folder (warehouse), rest (uri)."""
+        """Add providers from `spark.sql.catalog.<name>.type` settings: memory, folder (warehouse), rest (uri), hive. Glue needs a client: `add`."""
         settings = {k: v for k, v in self.spark.sparkContext.getConf().getAll() if k.startswith("spark.sql.catalog.")}
         for k, kind in settings.items():
             if not k.endswith(".type"):
@@ -181,7 +273,9 @@ class Registry:
                 self.add(name, FolderCatalog(self.spark, own["warehouse"]))
             elif kind in ("rest", "iceberg", "unity"):
                 self.add(name, RestCatalog(own["uri"], token=own.get("token")))
-            elif kind != "hive":  # Spark's own Hive support serves spark_catalog
+            elif kind == "hive":
+                self.add(name, HiveCatalog(self.spark))
+            else:
                 raise ValueError(f"unknown catalog type {kind}")
 
     def use(self, name: str) -> None:

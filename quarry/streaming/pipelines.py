@@ -78,6 +78,23 @@ def run_to_memory(stream: DataFrame, mode: str = "append", checkpoint: str | Non
     return stream.sparkSession.table(name)
 
 
+def run_stored(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a stream over all that is there now, write each batch's rows to the shared folder, and return them as a batch frame.
+
+    In complete mode that is the last batch. Nothing passes through the driver.
+    """
+    spark, base = stream.sparkSession, f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    done: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/rows/{number}")
+        done.append(number)
+
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/offsets").trigger(availableNow=True).start().awaitTermination()
+    own = sorted(set(done))[-1:] if mode == "complete" else sorted(set(done))
+    return spark.read.schema(stream.schema).parquet(*[f"{base}/rows/{n}" for n in own]) if own else spark.createDataFrame([], stream.schema)
+
+
 def run_to_files(stream: DataFrame, path: str, checkpoint: str, fmt: str = "parquet") -> None:
     """Run to a file sink; files and checkpoint together give each row exactly once."""
     stream.writeStream.format(fmt).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
