@@ -142,6 +142,18 @@ def test_line_dedup_repeated_and_missing_ids(spark):
     assert all(r._n_dropped == 0 for r in three.collect())
 
 
+def test_line_dedup_with_clashing_names(spark):
+    """Columns named like those the operator adds or uses inside come through."""
+    names = ["_kept", "_ld_id", "_lines", "_n_dropped", "gone", "row", "id", "print", "lines"]
+    rows = [(1, "the same long line\nx", *range(9)), (2, "the same long line\ny", *range(10, 19)), (3, None, *[None] * 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    out = linededup.drop_repeated_lines(df)
+    assert out.columns == df.columns
+    assert sorted(map(tuple, out.collect())) == [rows[0], (2, "y", *range(10, 19)), rows[2]]
+    whole = linededup.dedup_lines(df)
+    assert sorted((r.doc_id, list(r._kept), r._ld_id) for r in whole.collect() if r.doc_id < 3) == [(1, ["the same long line", "x"], 1), (2, ["y"], 11)]
+
+
 def brute_overlap(rows, items, window=13):
     rx = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     tok = lambda t: rx.findall((t or "").translate(LOWER))

@@ -80,14 +80,51 @@ def test_top_k(spark, monkeypatch):
     assert topk.exact_top_k(topk.whole_vectors(few.limit(0), "id", "vec"), F.col("id") == 0).count() == 0
 
 
+def brute_top(q, x, k, own=-1):
+    s = x @ q
+    best = [j for j in np.lexsort((np.arange(len(x)), -s)) if j != own][:k]
+    return best, s[best].tolist()
+
+
+@pytest.mark.parametrize("kind", ["even", "decaying", "ties", "zeros"])
+def test_threshold_algorithm(kind):
+    """64 dimensions, blocks of thousands: every result comes from the lists, and equals the plain product."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3000, 64))
+    if kind == "decaying":  # a few dimensions carry most of the length
+        x *= 0.6 ** np.arange(64)
+    x = np.floor(64 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64)
+    if kind == "ties":
+        x[500:900] = x[3]
+    if kind == "zeros":
+        x[:, 5:] = 0
+        x[40] = 0
+    ids, some, read = np.arange(3000), np.arange(0, 3000, 37), []
+    if kind == "zeros":
+        some = np.append(some, 40)
+    for q, got, scores in topk.block_top_k(some, x[some], ids, x, 20, read):
+        assert (got.tolist(), scores.tolist()) == (lambda w: (list(w[0]), w[1]))(brute_top(x[q], x, 20, q))
+    assert len(read) == len(some) and max(read) <= 3000 * 64
+    if kind == "decaying":
+        assert np.median(read) < 0.5 * 3000 * 64
+
+
 def test_threshold_stops_early():
     rng = np.random.default_rng(0)
     x = np.zeros((5000, 4), np.int64)
     x[:, 0] = rng.permutation(5000)
-    q = np.array([3, 0, 0, 0])
-    lists = np.argsort(x, 0, kind="stable").astype(np.int32)
-    got = topk._threshold(q, x.astype(np.float64), np.sort(x, 0), lists, np.arange(5000), -1, 5)
-    assert got is not None and got[1].tolist() == [3 * k for k in range(4999, 4994, -1)]
+    read: list[int] = []
+    got = list(topk.block_top_k(np.array([-1]), np.array([[3, 0, 0, 0]]), np.arange(5000), x, 5, read))
+    assert got[0][2].tolist() == [3 * k for k in range(4999, 4994, -1)] and read == [topk.STEP]
+
+
+def test_top_k_of_other_lengths_and_huge_vectors(spark):
+    rows = [(0, [1.0, 2.0]), (1, [3.0, 4.0]), (2, [5.0]), (20, [6.0]), (40, [1e17, 1.0, 1.0])]
+    df = spark.createDataFrame(rows[:4], "id long, vec array<double>")
+    got = topk.exact_top_k(topk.whole_vectors(df, "id", "vec"), F.col("id") % 20 == 0).collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 1, 64 * 64 * 11), (20, 1, 2, 64 * 64 * 30)]
+    with pytest.raises(Exception, match="too large"):
+        topk.exact_top_k(topk.whole_vectors(spark.createDataFrame(rows[4:], "id long, vec array<double>"), "id", "vec"), F.col("id") == 40).collect()
 
 
 def brute_host_path(url):
@@ -180,6 +217,43 @@ def test_shards(spark):
     assert [(r.size, r.slot, r.text_crc32) for r in tiny] == [(1, 0, 0)]
 
 
+def test_shards_of_rows_that_tie(spark):
+    """1,600 rows without an id and with one text: they are spread like any others."""
+    df = spark.createDataFrame([(None, "the same text")] * 1600 + [(i, f"text {i}") for i in range(160)], "doc_id long, text string").repartition(3)
+    got = shards.shard_documents(df).collect()
+    sums, slots = {}, {}
+    for r in got:
+        sums[r.shard] = sums.get(r.shard, 0) + r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert len(got) == 1760 and len(sums) == 16 and max(sums.values()) - min(sums.values()) <= 2 * 15
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_shard_columns_against_plain_python(spark):
+    import zlib
+
+    rows = [(1, "é x"), (2, None), (None, ""), (3, "z" * 100_000), (3, "z" * 100_000)]
+    got = shards.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows]
+    assert sorted(((r.doc_id, r.size, r.text_crc32) for r in got), key=repr) == sorted(want, key=repr)
+
+
+def test_splitters_that_do_not_settle(spark, monkeypatch):
+    monkeypatch.setattr(shards, "MAX_ROUNDS", 1)
+    df = spark.createDataFrame([(i, "x" * (i % 50)) for i in range(4000)], "doc_id long, text string")
+    with pytest.raises(RuntimeError, match="settle"):
+        shards.shard_documents(df)
+
+
+def test_write_shards_keeps_every_row(spark, tmp_path):
+    rows = [(None, "a", 1), (None, None, 2), (5, "b", 3), (5, "b", 3), (6, None, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tie int")
+    shards.write_shards(df, str(tmp_path / "s"), n_shards=2)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted(((r.doc_id, r.text, r.tie) for r in back.collect()), key=repr) == sorted(rows, key=repr)
+    assert back.columns == ["doc_id", "text", "tie", "slot", "shard"]
+
+
 def test_write_shards(spark, tmp_path):
     df = spark.createDataFrame([(i, f"text {i % 7} " * 20) for i in range(400)], "doc_id long, text string")
     shards.write_shards(df, str(tmp_path / "s"), n_shards=4)
@@ -187,6 +261,66 @@ def test_write_shards(spark, tmp_path):
     assert back.count() == 400 and back.select("shard").distinct().count() == 4
 
 
+def test_ids_of_any_type_and_empty_tables(spark):
+    model = langid.fit(spark.createDataFrame([("en", "the cat and the dog"), ("de", "der Hund und die Katze")], "lang string, text string"))
+    path = tokens.default_path()
+    for fields, i in (("doc_id string, text string", "a-1"), ("doc_id int, text string", 7), ("doc_id decimal(20,0), text string", None)):
+        df = spark.createDataFrame([(i, "the dog"), (None, None), (i, "the dog")], fields)
+        kind = df.schema["doc_id"].dataType
+        for out in (tokens.count_tokens(df, path), tokens.round_trip(df, path), tokens.encode_texts(df, path), tokens.decode_ids(tokens.encode_texts(df, path), path), langid.identify(df, model)):
+            assert out.schema["doc_id"].dataType == kind
+            assert sorted((r.doc_id for r in out.collect()), key=repr) == sorted([i, i, None], key=repr)
+        assert tokens.count_tokens(df.limit(0), path).count() == tokens.round_trip(df.limit(0), path).count() == langid.identify(df.limit(0), model).count() == 0
+
+
+def test_queries_on_token_counts(spark, library):
+    """over_limit and decoded_sha256 of the registered queries against the library, over the whole table."""
+    import hashlib
+
+    from quarry.llm import catalog
+
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    want = {i: library.encode(t, add_special_tokens=False).ids for i, t in docs.items()}
+    assert {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in catalog.op5_token_counts(spark, SF).collect()} == {i: (len(docs[i].encode()), len(w), len(w) > 1024) for i, w in want.items()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in catalog.op7_bpe_round_trip(spark, SF).collect()}
+    assert got == {i: (len(w), sha(np.array(w, "<u4").tobytes()), sha(library.decode(w, skip_special_tokens=False).encode())) for i, w in want.items()}
+
+
+def test_text_in_twelve_languages(spark):
+    """Twelve made-up languages in equal parts: all twelve are found, and labels past the model's limit leave the most counted ones."""
+    rng = random.Random(21)
+    tongues = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(40)] for _ in range(12)]
+    speak = lambda i, n: " ".join(rng.choice(tongues[i]) for _ in range(n))
+    rows = [(f"l{i:02}", speak(i, 400)) for i in range(12)]
+    model = langid.fit(spark.createDataFrame(rows, "lang string, text string"))
+    mixed = " ".join(speak(i, 300) for i in range(12))
+    got = langid.identify(spark.createDataFrame([(1, mixed), (2, speak(3, 50))], "doc_id long, text string"), model).collect()
+    assert sorted(x.lang for x in got[0].languages) == [f"l{i:02}" for i in range(12)]
+    assert [x.lang for x in got[1].languages] == ["l03"]
+
+
+def test_more_labels_than_the_model_holds(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    model = langid.fit(spark.createDataFrame([("x", "some words here"), ("y", "a"), ("z", "more words over there")], "lang string, text string"))
+    assert model[0] == ["x", "z"]
+
+
+def test_mixture_against_plain_em():
+    """Settled shares and likelihood against ten thousand plain rounds."""
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        k, n = int(rng.integers(2, 6)), int(rng.integers(3, 40))
+        logs = np.log(rng.dirichlet(np.ones(50), k).T[:n])
+        counts = rng.integers(1, 9, n).astype(float)
+        share = np.full(k, 1 / k)
+        for _ in range(10_000):
+            share = share * ((counts / (np.exp(logs) @ share)) @ np.exp(logs)) / counts.sum()
+        got, value = langid.mixture(logs, counts)
+        best = float((counts * np.log(np.exp(logs) @ share)).sum())
+        assert best - langid.SETTLED - 1e-9 <= value <= best + 1e-9 and math.isclose(got.sum(), 1)
+
+
 def test_shares_sum_to_one():
     logs = np.log(np.array([[0.7, 0.1], [0.2, 0.2], [0.1, 0.7]]))
     share, value = langid.mixture(logs, np.array([7.0, 2.0, 1.0]))
