@@ -6,10 +6,10 @@ from .registry import Catalog
 
 
 def catalog() -> Catalog:
-    from . import aggregates, benchmarks, extended, functions, joins, more, scans, surface
+    from . import aggregates, benchmarks, decision, extended, functions, joins, more, scans, surface
 
     out = Catalog()
-    for m in (benchmarks, scans, joins, aggregates, functions, more, extended, surface):
+    for m in (benchmarks, scans, joins, aggregates, functions, more, decision, extended, surface):
         twice = out.keys() & m.C.keys()
         assert not twice, twice
         out.update(m.C)
