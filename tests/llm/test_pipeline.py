@@ -65,3 +65,39 @@ def test_stages_keep_the_columns(spark):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
     assert p.drop_lines(spark, docs, SF).where(F.col("n_chars") != F.char_length("text")).count() == 0
+
+
+def _stages(spark, rows, fields):
+    """The columns and rows after each stage, each over the rows it is given."""
+    import corpus_pipeline as p
+
+    docs = spark.createDataFrame(rows, fields)
+    for name, stage in p.STAGES:
+        yield name, docs.columns, stage(spark, docs, SF)
+
+
+FIELDS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_stages_on_an_empty_table(spark):
+    for name, columns, out in _stages(spark, [], FIELDS):
+        assert out.count() == 0 and (out.columns == columns or name.startswith("bpe"))
+
+
+def test_stages_with_odd_rows_and_clashing_columns(spark):
+    """Null ids and texts, repeated rows, ties, one very long text, and extra columns named like those used inside."""
+    names = ["cls", "key", "row", "gone", "items", "_id", "_kept", "root", "n_words"]
+    text = "the cat sat on the mat and looked at the dog for a long time\nsecond line of this text here"
+    texts = [(1, text), (1, text), (2, text), (None, text), (None, None), (3, None), (4, ""), (5, "123 456"), (6, "word " * 60_000), (7, "another text that nobody else has written down")]
+    rows = [(i, t, "en", "s", len(t or ""), *range(len(names))) for i, t in texts]
+    fields = FIELDS + "".join(f", {n} int" for n in names)
+    ids = {}
+    for name, columns, out in _stages(spark, rows, fields):
+        got = out.collect()
+        ids[name] = sorted((r.doc_id for r in got), key=repr)
+        if not name.startswith("bpe"):
+            assert out.columns == columns and all(tuple(r[n] for n in names) == tuple(range(len(names))) for r in got)
+    assert ids["language id"] == [1, 1, 2, 7, None, None]  # nothing the model has learned explains one word over and over
+    assert ids["line dedup"] == [1, 1, 3, 4, 5, 6, 7, None]  # the null text stays; 2 and the copy without an id lose every line
+    assert ids["n-gram jaccard join"] == [1, 1, 3, 4, 5, 6, 7, None, None]
+    assert ids["benchmark decontamination"] == ids["bpe encoding and decoding"] == [1, 1, 2, 3, 4, 5, 6, 7, None, None]
