@@ -28,8 +28,10 @@ def run_script(spark: SparkSession, script: str) -> list[Block]:
             df = spark.sql(rewrite(s))
             rows = ["\t".join("NULL" if v is None else str(v) for v in r) for r in df.collect()]
             out.append(Block(s, df.schema.simpleString(), rows if re.search(r"\border\s+by\b", s, re.I) else sorted(rows)))
-        except PySparkException as e:
-            out.append(Block(s, "struct<>", [e.getCondition() or type(e).__name__]))
+        except Exception as e:  # noqa: BLE001  some errors come as the JVM's own
+            known = e.getCondition() if isinstance(e, PySparkException) else None
+            named = re.search(r"\[([A-Z][A-Z_.0-9]+)\]", str(e))
+            out.append(Block(s, "struct<>", [known or (named[1] if named else type(e).__name__)]))
     return out
 
 

@@ -22,7 +22,11 @@ def pushed_filters(df: DataFrame) -> list[str]:
 
 
 def read_schemas(df: DataFrame) -> list[str]:
-    return re.findall(r"ReadSchema: (.*)", plan_text(df))
+    return read_schemas_of(plan_text(df))
+
+
+def read_schemas_of(text: str) -> list[str]:
+    return re.findall(r"ReadSchema: (.*)", text)
 
 
 def exchanges(df: DataFrame) -> int:

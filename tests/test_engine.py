@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 import pytest
 from conftest import SF
 from pyspark.errors import PySparkException
@@ -134,3 +137,50 @@ def test_late_rows_are_dropped(spark, tmp_path):
     run()
     got = {str(r.start)[11:13]: r.n for r in spark.read.parquet(str(tmp_path / "o")).collect()}
     assert got == {"10": 1, "15": 1}
+
+
+GOLDEN = Path(__file__).parent / "golden"
+
+
+@pytest.mark.parametrize("name", sorted(p.stem for p in GOLDEN.glob("*.sql")))
+def test_golden_scripts(spark, name):
+    """Every statement of the recorded scripts, strictly; `python tests/test_engine.py` records them anew."""
+    counts = golden.compare(golden.run_script(spark, (GOLDEN / f"{name}.sql").read_text()), GOLDEN / f"{name}.json")
+    assert counts["strict"] == counts["blocks"] > 10, counts
+
+
+#: The heaviest shapes, and the exchanges that each may have when nothing is broadcast.
+WITHOUT_BROADCASTS = {"tpch_q03": 6, "tpch_q05": 11, "tpch_q09": 12, "tpch_q18": 8, "tpch_q21": 10, "join_star": 11, "ds_four_level_rollup": 9}
+
+
+@pytest.mark.parametrize("name", WITHOUT_BROADCASTS)
+def test_plans_without_broadcasts(spark, name):
+    """With tables too large to broadcast: equi-joins by sort and merge only, filters and columns pushed to the scans, a bounded number of exchanges."""
+    from quarry.queries import catalog
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = inspect.plan_text(catalog()[name].build(spark, SF))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    joins = re.findall(r"^\(\d+\) (\w*Join\w*|CartesianProduct)", text, re.M)
+    assert joins and not {"CartesianProduct", "BroadcastNestedLoopJoin", "BroadcastHashJoin"} & set(joins), joins
+    assert len(re.findall(r"^\(\d+\) Exchange", text, re.M)) <= WITHOUT_BROADCASTS[name]
+    wide = [s for s in inspect.read_schemas_of(text) if s.count(":") > 7]
+    assert not wide, wide
+
+
+def test_bench_runs_its_headlines():
+    import bench
+    from quarry.queries import catalog
+
+    assert set(bench.HEADLINES) <= set(catalog())
+
+
+if __name__ == "__main__":
+    from quarry.session import get_spark
+
+    session = get_spark("golden", "local[2]", spark__sql__shuffle__partitions="2")
+    for script in GOLDEN.glob("*.sql"):
+        golden.save(golden.run_script(session, script.read_text()), script.with_suffix(".json"))
