@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,14 +18,16 @@ def two_phase(lines: DataFrame, keys: list[str], salts: int = 16) -> DataFrame:
     return part.groupBy(*keys).agg(F.sum("s").alias("s"), (F.sum("q") / F.sum("c")).alias("a"), F.sum("n").alias("n"))
 
 
-def prefix_sums(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
-    """df with the running total of a long column in the order of another one, without one task for all rows.
+def prefix_sums(df: DataFrame, order: str, value: str, name: str, bucket: Column) -> DataFrame:
+    """df with the running total of a number in the order of a column, without one task for all rows.
 
-    Rows are dealt by ranges of `order`; each range is summed within, and the sums of the ranges before
-    it, one short row for each partition, are added. Rows that tie in `order` have the same total.
+    bucket: an expression on `order` that never falls as it rises, such as its month. Each bucket is
+    summed by a task of its own; the sums of the buckets before, one row for each, are added. Rows that
+    tie in `order` have the same total.
     """
-    ranged = df.repartitionByRange(order).withColumn("_p", F.spark_partition_id())
-    base = F.sum("sum").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
-    before = ranged.groupBy("_p").agg(F.sum(value).alias("sum")).select("_p", F.coalesce(base, F.lit(0)).alias("_base"))
-    within = F.sum(value).over(Window.partitionBy("_p").orderBy(order))
-    return ranged.withColumn(name, within).join(F.broadcast(before), "_p").withColumn(name, F.col(name) + F.col("_base")).drop("_p", "_base")
+    cut = df.withColumn("_bucket", bucket)
+    base = F.sum("_sum").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    before = cut.groupBy("_bucket").agg(F.sum(value).alias("_sum")).select("_bucket", base.alias("_base"))
+    within = F.sum(value).over(Window.partitionBy("_bucket").orderBy(order))
+    out = cut.withColumn(name, within).join(before, cut["_bucket"].eqNullSafe(before["_bucket"])).drop("_bucket")
+    return out.withColumn(name, F.col(name) + F.coalesce("_base", F.lit(0))).drop("_base")

@@ -6,11 +6,14 @@ receipt dates by ship and order dates.
 
 from __future__ import annotations
 
-from .registry import Catalog
+from pyspark.sql import functions as F
+
+from ..operators.aggregates import prefix_sums
+from .registry import Catalog, table
 
 C = Catalog()
 _REV = "l_extendedprice * (1 - l_discount)"
-_PS = "(SELECT l_partkey AS ps_partkey, l_suppkey AS ps_suppkey, round(avg(l_extendedprice / l_quantity), 4) AS ps_supplycost, CAST(sum(l_quantity) AS BIGINT) AS ps_availqty FROM {lineitem} GROUP BY l_partkey, l_suppkey)"
+_PS = "{partsupp}"
 
 C.sql("tpch_q01", f"""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price, round(sum({_REV}), 2) AS sum_disc_price,
   round(sum({_REV} * (1 + l_tax)), 2) AS sum_charge, round(avg(l_quantity), 6) AS avg_qty, round(avg(l_extendedprice), 4) AS avg_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order
@@ -96,7 +99,17 @@ for i, text in enumerate([
 C.sql("ds_rollup_rank", "SELECT st, pr, total, lv, rk FROM (SELECT o_orderstatus AS st, o_orderpriority AS pr, round(sum(o_totalprice), 2) AS total, CAST(grouping(o_orderstatus) + grouping(o_orderpriority) AS BIGINT) AS lv, CAST(rank() OVER (PARTITION BY grouping(o_orderstatus) + grouping(o_orderpriority), CASE WHEN grouping(o_orderpriority) = 0 THEN o_orderstatus END ORDER BY sum(o_totalprice) DESC) AS BIGINT) AS rk FROM {orders} GROUP BY ROLLUP (o_orderstatus, o_orderpriority))")
 C.sql("ds_intersect_channels", "SELECT count(*) AS n FROM (SELECT DISTINCT o_custkey FROM {orders} WHERE o_orderstatus = 'F' INTERSECT SELECT DISTINCT o_custkey FROM {orders} WHERE o_orderstatus = 'O' INTERSECT SELECT DISTINCT o_custkey FROM {orders} WHERE o_orderpriority = '5-LOW')")
 C.sql("ds_except_channels", "SELECT count(*) AS n FROM (SELECT DISTINCT o_custkey FROM {orders} WHERE o_orderstatus = 'F' EXCEPT SELECT DISTINCT o_custkey FROM {orders} WHERE o_orderstatus = 'P')")
-C.sql("ds_full_outer_cumulative", "WITH a AS (SELECT CAST(o_orderdate AS DATE) AS d, sum(sum(o_totalprice)) OVER (ORDER BY CAST(o_orderdate AS DATE) ROWS UNBOUNDED PRECEDING) AS c FROM {orders} WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT CAST(o_orderdate AS DATE) AS d, sum(sum(o_totalprice)) OVER (ORDER BY CAST(o_orderdate AS DATE) ROWS UNBOUNDED PRECEDING) AS c FROM {orders} WHERE o_orderstatus = 'O' GROUP BY 1) SELECT coalesce(a.d, b.d) AS d, round(a.c, -1) AS ac, round(b.c, -1) AS bc FROM a FULL OUTER JOIN b ON a.d = b.d")
+@C.frame("ds_full_outer_cumulative", "WITH a AS (SELECT CAST(o_orderdate AS DATE) AS d, sum(sum(o_totalprice)) OVER (ORDER BY CAST(o_orderdate AS DATE) ROWS UNBOUNDED PRECEDING) AS c FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT CAST(o_orderdate AS DATE) AS d, sum(sum(o_totalprice)) OVER (ORDER BY CAST(o_orderdate AS DATE) ROWS UNBOUNDED PRECEDING) AS c FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) SELECT coalesce(a.d, b.d) AS d, round(a.c, -1) AS ac, round(b.c, -1) AS bc FROM a FULL OUTER JOIN b ON a.d = b.d")
+def _(spark, d):
+    o = table(spark, d, "orders").select("o_orderstatus", F.to_date("o_orderdate").alias("d"), "o_totalprice")
+
+    def running(status: str, name: str):
+        days = o.where(F.col("o_orderstatus") == status).groupBy("d").agg(F.sum("o_totalprice").alias("t"))
+        return prefix_sums(days, "d", "t", name, F.date_trunc("month", "d")).select("d", F.round(name, -1).alias(name))
+
+    return running("F", "ac").join(running("O", "bc"), "d", "full")
+
+
 C.sql("ds_year_over_year", "WITH y AS (SELECT o_custkey AS c, CAST(year(o_orderdate) AS BIGINT) AS y, sum(o_totalprice) AS t FROM {orders} GROUP BY 1, 2) SELECT a.c, a.y, round(b.t / a.t, 6) AS growth FROM y a JOIN y b ON a.c = b.c AND b.y = a.y + 1 WHERE b.t > a.t")
 C.sql("ds_union_channels", "SELECT channel, k, CAST(sum(n) AS BIGINT) AS n FROM (SELECT 'orders' AS channel, o_custkey % 10 AS k, count(*) AS n FROM {orders} GROUP BY 1, 2 UNION ALL SELECT 'lines', l_suppkey % 10, count(*) FROM {lineitem} GROUP BY 1, 2 UNION ALL SELECT 'events', user_id % 10, count(*) FROM {events} GROUP BY 1, 2) GROUP BY ROLLUP (channel, k)")
 C.sql("ds_ratio_to_report", "SELECT p_brand, p_type, round(sum(l_extendedprice), 2) AS rev, round(sum(l_extendedprice) * 100 / sum(sum(l_extendedprice)) OVER (PARTITION BY p_brand), 6) AS ratio FROM {lineitem} JOIN {part} ON l_partkey = p_partkey GROUP BY p_brand, p_type")
