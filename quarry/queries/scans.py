@@ -48,17 +48,26 @@ C.sql("sort_distribute_cluster_by", "SELECT c_nationkey, count(*) AS n FROM (SEL
       "SELECT c_nationkey, count(*) AS n FROM {customer} GROUP BY c_nationkey")
 
 
-@C.frame("sort_sample", None)
+@C.frame("sort_sample", "SELECT l_returnflag, count(*) AS n, true AS fair, true AS own FROM lineitem GROUP BY 1")
 def _(spark, d):
-    return table(spark, d, "lineitem").sample(fraction=0.1, seed=7).select("l_orderkey", "l_linenumber")
+    li = table(spark, d, "lineitem")
+    some = li.sample(fraction=0.1, seed=7)
+    got = some.groupBy("l_returnflag").agg(F.count("*").alias("s"))
+    out = li.groupBy("l_returnflag").agg(F.count("*").alias("n")).join(got, "l_returnflag")
+    again = li.sample(fraction=0.1, seed=7).exceptAll(some).isEmpty()  # the seed makes it definite
+    return out.select("l_returnflag", "n", (F.abs(F.col("s") - F.col("n") * 0.1) <= 5 * F.sqrt(F.col("n") * 0.09)).alias("fair"), F.lit(again).alias("own"))
 
 
 C.sql("sort_tablesample", "SELECT l_returnflag, n, s BETWEEN 0.1 * n AND 0.3 * n AS fair FROM (SELECT l_returnflag, count(*) AS n FROM {lineitem} GROUP BY 1) JOIN (SELECT l_returnflag, count(*) AS s FROM {lineitem} TABLESAMPLE (20 PERCENT) REPEATABLE (11) GROUP BY 1) USING (l_returnflag)", "SELECT l_returnflag, count(*) AS n, true AS fair FROM {lineitem} GROUP BY 1")
 
 
-@C.frame("sort_sample_by", None)
+@C.frame("sort_sample_by", "SELECT o_orderstatus, count(*) AS n, true AS fair FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY 1")
 def _(spark, d):
-    return table(spark, d, "orders").sampleBy("o_orderstatus", {"F": 0.5, "O": 0.1}, seed=3).select("o_orderkey", "o_orderstatus")
+    o = table(spark, d, "orders")
+    got = o.stat.sampleBy("o_orderstatus", {"F": 0.5, "O": 0.1}, seed=3).groupBy("o_orderstatus").agg(F.count("*").alias("s"))
+    share = F.when(F.col("o_orderstatus") == "F", 0.5).otherwise(0.1)
+    out = o.groupBy("o_orderstatus").agg(F.count("*").alias("n")).join(got, "o_orderstatus")  # strata without a share have no rows
+    return out.select("o_orderstatus", "n", (F.abs(F.col("s") - F.col("n") * share) <= 5 * F.sqrt(F.col("n") * share * (1 - share))).alias("fair"))
 
 
 C.sql("set_union_all", "SELECT n_nationkey AS k FROM {nation} UNION ALL SELECT r_regionkey FROM {region}")

@@ -354,7 +354,7 @@ C.sql("win_ranking_types", "SELECT DISTINCT typeof(row_number() OVER (ORDER BY n
 @C.frame("win_daily_running_total", "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, count(*) AS n, CAST(sum(count(*)) OVER (ORDER BY date_trunc('day', ts)) AS BIGINT) AS total FROM events GROUP BY date_trunc('day', ts)")
 def _(spark, d):
     days = table(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
-    return prefix_sums(days, "day", "n", "total")
+    return prefix_sums(days, "day", "n", "total", F.date_trunc("week", "day"))
 
 
 # -- types, names and errors ----------------------------------------------------------------
@@ -446,6 +446,30 @@ def _(spark, d):
     return table(spark, d, "nation").select("n_nationkey").mapInPandas(triple, "n_nationkey int, t int")
 
 
+@C.frame("fn_avro_round_trip", "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS price, o_orderkey % 4 AS n, o_custkey AS last FROM orders")
+def _(spark, d):
+    from ..functions import avro
+
+    o = table(spark, d, "orders").select(F.struct(
+        "o_orderkey", "o_orderstatus", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")).alias("price"), F.expr("array_repeat(o_custkey, CAST(o_orderkey % 4 AS INT))").alias("many"), F.create_map(F.lit("last"), "o_custkey").alias("m"),
+    ).alias("row"))
+    kind = o.schema["row"].dataType
+    import json
+
+    packed = o.select(avro.to_avro(F.col("row"), kind).alias("data"))
+    back = packed.select(avro.from_avro(F.col("data"), json.dumps(avro.avro_schema(kind))).alias("r"))
+    return back.select("r.o_orderkey", "r.o_orderstatus", "r.price", F.size("r.many").cast("long").alias("n"), F.col("r.m")["last"].alias("last"))
+
+
+@C.frame("fn_avro_broken_records", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name END AS name FROM nation")
+def _(spark, d):
+    from ..functions import avro
+
+    n = table(spark, d, "nation").withColumn("data", avro.to_avro(F.col("n_name"), table(spark, d, "nation").schema["n_name"].dataType))
+    cut = F.when(F.col("n_nationkey") % 2 == 0, F.col("data")).otherwise(F.substring("data", 1, 3))
+    return n.select("n_nationkey", avro.from_avro(cut, '"string"', mode="PERMISSIVE").alias("name"))
+
+
 # -- streaming ------------------------------------------------------------------------------
 
 
@@ -582,6 +606,16 @@ def _(spark, d):
     return delta.read_delta(spark, path).agg(F.count("*").alias("n")).withColumn("version", F.lit(delta.snapshot(spark, path)[2]))
 
 
+@C.frame("lake_delta_mapped_columns", "SELECT n_nationkey AS id, n_name AS name, n_regionkey AS region FROM nation WHERE n_regionkey < 2")
+def _(spark, d):
+    from ..sources import delta
+
+    path = _folder(spark, "delta")  # the files' names differ from the table's, as a renamed column leaves them
+    rows = table(spark, d, "nation").selectExpr("n_nationkey AS `col-1`", "n_name AS `col-2`", "n_regionkey AS `col-3`")
+    delta.append_delta(rows, path, ["col-3"], names={"col-1": "id", "col-2": "name", "col-3": "region"})
+    return delta.read_delta(spark, path, where="region < 2")
+
+
 @C.frame("lake_iceberg_partitioned", "SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey = 2 UNION ALL SELECT n_nationkey, n_name, n_regionkey FROM nation WHERE n_regionkey = 2")
 def _(spark, d):
     from ..sources import iceberg

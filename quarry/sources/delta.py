@@ -1,4 +1,4 @@
-"""Tables with a JSON commit log: replay, time travel, append, delete, update, merge, checkpoints, pruning. Deletion vectors and column mapping are refused."""
+"""Tables with a JSON commit log: replay, time travel, append, delete, update, merge, checkpoints, pruning. Deletion vectors are refused."""
 
 from __future__ import annotations
 
@@ -61,12 +61,17 @@ def snapshot(spark: SparkSession, path: str, version: int | None = None) -> tupl
     for add in active:
         if add.get("deletionVector"):
             raise NotImplementedError("the table has deletion vectors")
-        add["partitionValues"] = {c: (add.get("partitionValues") or {}).get(c) for c in meta.get("partitionColumns") or []}
-    if (meta.get("configuration") or {}).get("delta.columnMapping.mode", "none") != "none":
-        raise NotImplementedError("the table maps column names")
+        add["partitionValues"] = {c: (add.get("partitionValues") or {}).get(p) for c, p in _physical(meta).items() if c in (meta.get("partitionColumns") or [])}
     return meta, active, max(map(_version, commits), default=last)
 
 
+def _physical(meta: dict) -> dict[str, str]:
+    """The files' name of each of the table's columns: another one where the table maps names."""
+    mapped = (meta.get("configuration") or {}).get("delta.columnMapping.mode", "none") != "none"
+    fields = json.loads(meta.get("schemaString") or '{"fields": []}')["fields"]
+    return {f["name"]: f["metadata"].get("delta.columnMapping.physicalName", f["name"]) if mapped else f["name"] for f in fields}
+
+
 def deletion_vectors(spark: SparkSession, path: str) -> list[str]:
     """Data files of the log that have a deletion vector."""
     rows = spark.read.json([f for f in _log_files(spark, path) if f.endswith(".json")])
@@ -86,24 +91,31 @@ def read_delta(spark: SparkSession, path: str, version: int | None = None, where
         return spark.createDataFrame([], schema or T.StructType())
     names = [unquote(a["path"]) for a in files]
     paths = [n if "://" in n else f"{path}/{n}" for n in names]
-    if schema is None or not parts:
-        df = (spark.read if schema is None else spark.read.schema(schema)).parquet(*paths)
-    elif all(partition_values(n) == a["partitionValues"] for n, a in zip(names, files, strict=True)):
-        df = spark.read.option("basePath", path).schema(schema).parquet(*paths).select(*schema.fieldNames())
+    if schema is None:
+        df = spark.read.parquet(*paths)
+        return df.where(where) if where else df
+    own = _physical(meta)
+    inside = T.StructType([T.StructField(own[f.name], f.dataType, f.nullable) for f in schema.fields])
+    values = [{own[c]: v for c, v in a["partitionValues"].items()} for a in files]
+    if not parts:
+        df = spark.read.schema(inside).parquet(*paths)
+    elif all(partition_values(n) == v for n, v in zip(names, values, strict=True)):
+        df = spark.read.option("basePath", path).schema(inside).parquet(*paths)
     else:
-        df = _with_values(spark, schema, parts, paths, files)
+        df = _with_values(spark, inside, [own[c] for c in parts], paths, values)
+    df = df.select(*[F.col(f"`{own[f.name]}`").alias(f.name) for f in schema.fields])
     return df.where(where) if where else df
 
 
-def _with_values(spark: SparkSession, schema: T.StructType, parts: list[str], paths: list[str], files: list[dict]) -> DataFrame:
+def _with_values(spark: SparkSession, schema: T.StructType, parts: list[str], paths: list[str], values: list[dict]) -> DataFrame:
     """Files whose folders do not tell the partition values: these come from the log, one short row for each file."""
     own = T.StructType([f for f in schema.fields if f.name not in parts])
     name = lambda c: F.regexp_replace(F.regexp_replace(c, "^([A-Za-z0-9]+):/+", "$1:/"), "^/+", "file:/")
-    rows = [(str(_fs(spark, p)[0].makeQualified(spark._jvm.org.apache.hadoop.fs.Path(p)).toUri()), *(a["partitionValues"][c] for c in parts)) for p, a in zip(paths, files, strict=True)]
-    values = spark.createDataFrame(rows, T.StructType([T.StructField("_file", T.StringType()), *(T.StructField(c, T.StringType()) for c in parts)]))
-    values = values.select(name(F.col("_file")).alias("_file"), *[F.col(c).cast(schema[c].dataType).alias(c) for c in parts])
+    rows = [(str(_fs(spark, p)[0].makeQualified(spark._jvm.org.apache.hadoop.fs.Path(p)).toUri()), *(v[c] for c in parts)) for p, v in zip(paths, values, strict=True)]
+    known = spark.createDataFrame(rows, T.StructType([T.StructField("_file", T.StringType()), *(T.StructField(c, T.StringType()) for c in parts)]))
+    known = known.select(name(F.col("_file")).alias("_file"), *[F.col(f"`{c}`").cast(schema[c].dataType).alias(c) for c in parts])
     df = spark.read.option("recursiveFileLookup", "true").schema(own).parquet(*paths).withColumn("_file", name(F.col("_metadata.file_path")))
-    return df.join(values, "_file").select(*schema.fieldNames())
+    return df.join(known, "_file").drop("_file")
 
 
 def _stage(df: DataFrame, path: str, partition_by: list[str]) -> list[dict]:
@@ -131,8 +143,11 @@ def _stage(df: DataFrame, path: str, partition_by: list[str]) -> list[dict]:
     return adds
 
 
-def append_delta(df: DataFrame, path: str, partition_by: list[str] | None = None, retries: int = 10) -> int:
-    """Write df's files and commit them as the next version; another writer's commit means a retry with the version after it."""
+def append_delta(df: DataFrame, path: str, partition_by: list[str] | None = None, retries: int = 10, names: dict[str, str] | None = None) -> int:
+    """Write df's files and commit them as the next version; another writer's commit means a retry with the version after it.
+
+    names: for a new table, its name of each column of the files (column mapping by name).
+    """
     spark, now = df.sparkSession, int(time.time() * 1000)
     adds = _stage(df, path, partition_by or [])
     try:
@@ -141,8 +156,8 @@ def append_delta(df: DataFrame, path: str, partition_by: list[str] | None = None
     except FileNotFoundError:
         version = -1
         head = [
-            {"protocol": {"minReaderVersion": 1, "minWriterVersion": 2}},
-            {"metaData": {"id": str(uuid.uuid4()), "format": {"provider": "parquet", "options": {}}, "schemaString": df.schema.json(), "partitionColumns": partition_by or [], "configuration": {}, "createdTime": now}},
+            {"protocol": {"minReaderVersion": 2, "minWriterVersion": 5} if names else {"minReaderVersion": 1, "minWriterVersion": 2}},
+            {"metaData": {"id": str(uuid.uuid4()), "format": {"provider": "parquet", "options": {}}, "schemaString": _mapped(df.schema, names or {}).json(), "partitionColumns": [(names or {}).get(c, c) for c in partition_by or []], "configuration": {"delta.columnMapping.mode": "name"} if names else {}, "createdTime": now}},
         ]
     for _ in range(retries):
         version += 1
@@ -152,6 +167,12 @@ def append_delta(df: DataFrame, path: str, partition_by: list[str] | None = None
     raise RuntimeError("other writers kept committing first")
 
 
+def _mapped(schema: T.StructType, names: dict[str, str]) -> T.StructType:
+    if not names:
+        return schema
+    return T.StructType([T.StructField(names[f.name], f.dataType, f.nullable, {"delta.columnMapping.id": i, "delta.columnMapping.physicalName": f.name}) for i, f in enumerate(schema.fields, 1)])
+
+
 def remove_files(spark: SparkSession, path: str, names: list[str], retries: int = 10) -> int:
     """Commit the removal of active data files, by their paths in the log; a file that another writer removed first is an error."""
     return _commit_dml(spark, path, names, [], "DELETE", retries)
@@ -173,7 +194,8 @@ def _commit_dml(spark: SparkSession, path: str, removed: list[str], adds: list[d
 def _rewrite(spark: SparkSession, path: str, changed: DataFrame, touched: list[str], operation: str) -> int:
     """Replace the files touched by those of a frame, in one commit."""
     meta, _, _ = snapshot(spark, path)
-    return _commit_dml(spark, path, touched, _stage(changed, path, meta.get("partitionColumns") or []), operation)
+    own = _physical(meta)
+    return _commit_dml(spark, path, touched, _stage(changed.withColumnsRenamed(own), path, [own[c] for c in meta.get("partitionColumns") or []]), operation)
 
 
 def _touched(spark: SparkSession, path: str, df: DataFrame) -> list[str]:
