@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Labelled rows the trees learn from, about: a bounded sample by hash of the URL.
+#: Different labelled URLs the trees learn from, about: a bounded sample by hash of the URL, each with its number of rows.
 TRAIN_ROWS = 20_000
 ROUNDS, DEPTH, BINS, RATE, LEAST_HESS, RIDGE = 8, 3, 16, 0.4, 1.0, 1.0
 #: A suffix has statistics of its own from so many sampled rows on; there are TRAIN_ROWS / SUFFIX_ROWS of them about.
@@ -66,8 +66,7 @@ def features(url: Column, host: Column, path: Column) -> dict[str, Column]:
     """Lexical features of a URL, all double."""
     url = F.coalesce(url, F.lit(""))
     n = F.greatest(F.length(url), F.lit(1))
-    chars = F.split(url, "")
-    counts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / n)
+    counts = F.transform(F.filter(F.array_distinct(F.split(url, "")), lambda c: c != ""), lambda c: (F.length(url) - F.length(F.replace(url, c, F.lit("")))) / n)
     entropy = F.aggregate(counts, F.lit(0.0), lambda a, p: a - F.when(p > 0, p * F.log2(p)).otherwise(0.0))
     query = F.substring_index(F.when(F.instr(url, "?") > 0, F.substring(url, F.instr(url, "?") + 1, F.length(url))).otherwise(""), "#", 1)
     parts = F.split(path, "/")
@@ -119,19 +118,22 @@ def _case(tree, bins: list[Column]) -> Column:
 def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Trees:
     """Trees from rows with url, host, path and label (1 block, 0 allow).
 
-    With more than train_rows rows about that many are taken by hash of the URL, so the sample does
-    not depend on how the table is dealt out. Without rows, or with one label only, there are no trees.
+    With more than train_rows different URLs about that many are taken by hash, so the sample does
+    not depend on how the table is dealt out, and a URL that very many rows repeat is one row with a
+    weight. Without rows, or with one label only, there are no trees.
     """
-    n = labelled.count()
+    n = labelled.agg(F.approx_count_distinct("url", 0.02)).first()[0]
     if n > train_rows:
         labelled = labelled.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(1_000_000 * train_rows / n))
+    labelled = labelled.groupBy("url", "host", "path", "label").agg(F.count(F.lit(1)).alias("w"))
     named = features(F.col("url"), F.col("host"), F.col("path"))
-    sample = materialize(labelled.select(_suffix(F.col("host")).alias("suffix"), "label", *[v.alias(k) for k, v in named.items()]), "urls")
-    total, blocked = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+    sample = materialize(labelled.select(_suffix(F.col("host")).alias("suffix"), "label", "w", *[v.alias(k) for k, v in named.items()]), "urls")
+    total, blocked = sample.agg(F.coalesce(F.sum("w"), F.lit(0)), F.coalesce(F.sum(F.col("label") * F.col("w")), F.lit(0))).first()
     base = log((blocked + 1) / (total - blocked + 1))
     if not total or blocked in (0, total):
         return Trees(base, [*named, "suffix"], [[] for _ in range(len(named) + 1)], [], {})
-    stats = sample.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("b")).where(F.col("n") >= SUFFIX_ROWS).collect()
+    own = sample.groupBy("suffix").agg(F.count(F.lit(1)).alias("urls"), F.sum("w").alias("n"), F.sum(F.col("label") * F.col("w")).alias("b"))
+    stats = own.where(F.col("urls") >= SUFFIX_ROWS).collect()
     suffix = {r.suffix: log((r.b + 1) / (r.n - r.b + 1)) for r in stats}  # at most train_rows / SUFFIX_ROWS
     model = Trees(base, [*named, "suffix"], [], [], suffix)
 
@@ -139,11 +141,11 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Trees:
     sample = sample.withColumn("rate", F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in sorted(suffix.items()) for x in kv]), F.col("suffix")), F.lit(base)) if suffix else F.lit(base))
     values.append(F.col("rate"))
     steps = F.array(*[F.lit(i / BINS) for i in range(1, BINS)])
-    borders = sample.agg(*[F.percentile(v, steps).alias(f"e{i}") for i, v in enumerate(values)]).first()
+    borders = sample.agg(*[F.percentile(v, steps, F.col("w")).alias(f"e{i}") for i, v in enumerate(values)]).first()
     model.edges = [sorted(set(e)) for e in borders]
     # equal bins and labels are one row with a weight: a table of train_rows rows at most
-    binned = sample.select("label", *[b.cast("int").alias(f"b{i}") for i, b in enumerate(model.bins(values))])
-    table = materialize(binned.groupBy(*binned.columns).agg(F.count(F.lit(1)).alias("w")), "bins").coalesce(1)
+    binned = sample.select("label", "w", *[b.cast("int").alias(f"b{i}") for i, b in enumerate(model.bins(values))])
+    table = materialize(binned.groupBy(*(c for c in binned.columns if c != "w")).agg(F.sum("w").alias("w")), "bins").coalesce(1)
     cols = [F.col(f"b{i}") for i in range(len(values))]
     for _ in range(ROUNDS):
         tree = _grow(table, cols, model)
@@ -208,8 +210,9 @@ def judge(pages: DataFrame, rules: list[Rule], url_col: str = "url", model: Tree
     """pages with host, path, rule, verdict and score (probability of block; null where a rule decides).
 
     model: by default fitted on the rows that a rule decides. Columns of pages with these names are
-    replaced. Defined cases: a null URL, or one without ://, has an empty host and path and is judged
-    by the trees; without any labelled URL everything else is allowed; repeated rows are judged alike.
+    replaced; others may have any name but one beginning with _uf_. Defined cases: a null URL, or one
+    without ://, has an empty host and path and is judged by the trees; without any labelled URL
+    everything else is allowed; repeated rows are judged alike; an empty table gives no rows.
     """
     host, path = split_url(F.col(url_col))
     out = pages.withColumn("host", host).withColumn("path", path)
