@@ -22,7 +22,7 @@ import regex
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A text in which a blank is no safe place to cut: white space before it, and after it or at the end.
 _UNSAFE = re.compile(r"\s \s|\s $")
-_BLANK = regex.compile(r"\s")
+_BLANK, _BLANKS = regex.compile(r"\s"), regex.compile(r"\s+")
 #: Chunks in one generation of a worker's memory; two generations take about 200 MB.
 REMEMBERED = 500_000
 
@@ -286,14 +286,18 @@ class Counter(_Memory):
 
     def _plain_table(self, text: str) -> list[int]:
         out, base, at, run = [0], 0, 0, 0  # run: where the white space that ends at this place began
+        blank, size = None, 0  # the table of that whole run of white space, and the bytes of it so far
         for p in self.codec.pieces(text):
             table, n = self.table(p), 0
             for i, c in enumerate(p, 1):
                 n += len(c.encode())
                 if _BLANK.match(c):
-                    out.append(out[run] + self[text[run : at + i]])
+                    if blank is None:
+                        blank, size = self.table(_BLANKS.match(text, run)[0]), 0
+                    size += len(c.encode())
+                    out.append(out[run] + blank[size])
                     continue
-                run = at + i
+                run, blank = at + i, None
                 out.append(base + (sum(self[q] for q in self.codec.pieces(p[:i])) if p[0] == "'" else table[n]))
             base += table[-1]
             at += len(p)
