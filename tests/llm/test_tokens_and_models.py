@@ -80,6 +80,19 @@ def test_top_k(spark, monkeypatch):
     assert topk.exact_top_k(topk.whole_vectors(few.limit(0), "id", "vec"), F.col("id") == 0).count() == 0
 
 
+def test_prefixes_of_long_white_space(library):
+    """White space of all kinds and lengths, up to a run of 40,000: one table for each run."""
+    from quarry.llm.bpe import Counter
+
+    rng, count = random.Random(9), Counter(tokens.codec(tokens.default_path()))
+    texts = ["".join(rng.choice(" \n\t\u00a0\u3000ab'") for _ in range(60)) for _ in range(60)] + ["a" + " " * 40, "\n" * 30 + "x  ", " \n \n  b"]
+    for t in texts:
+        assert count.prefix_table(t) == [len(library.encode(t[:i], add_special_tokens=False).ids) for i in range(len(t) + 1)]
+    long = "x" + " \n" * 20_000
+    table = count.prefix_table(long)
+    assert table[-1] == len(library.encode(long, add_special_tokens=False).ids)
+
+
 def brute_top(q, x, k, own=-1):
     s = x @ q
     best = [j for j in np.lexsort((np.arange(len(x)), -s)) if j != own][:k]
@@ -172,6 +185,59 @@ def test_url_trees_learn(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def plain_features(url, host, path):
+    url = url or ""
+    n = max(len(url), 1)
+    query = url.split("?", 1)[1].split("#", 1)[0] if "?" in url else ""
+    parts = path.split("/")
+    entropy = -sum(c / n * math.log2(c / n) for c in (url.count(x) for x in set(url)))
+    return [
+        len(url), sum(p != "" for p in parts), sum(c in "0123456789" for c in url) / n, entropy, query.count("&") + 1 if query else 0,
+        host.count("."), len(parts[1]) if len(parts) > 1 else 0, len(parts[-1]), sum(c in "-_" for c in url),
+    ]
+
+
+def test_verdicts_against_plain_python(spark):
+    """The registered query's verdicts over all pages, from the fitted trees by plain Python."""
+    from quarry.llm import catalog
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url")
+    pages = pages.unionAll(spark.createDataFrame([(-1, None), (-2, ""), (-3, "http://x.zz/" + "a1-" * 40_000 + "?q=1&r=2#f")], "page_id long, url string"))
+    host, path = urlfilter.split_url(F.col("url"))
+    rows = pages.withColumns({"host": host, "path": path})
+    rows = rows.withColumn("rule", urlfilter.first_rule(catalog.RULES, F.col("host"), F.col("path")))
+    kind = {r.text: r.verdict for r in catalog.RULES}
+    blocked = F.col("rule").isin([t for t, v in kind.items() if v == "block"]).cast("int")
+    model = urlfilter.fit(rows.where("rule IS NOT NULL").select("url", "host", "path", blocked.alias("label")))
+    assert model.trees
+
+    def leaf(tree, bins):
+        while not isinstance(tree, float):
+            feature, cut, left, right = tree
+            tree = left if bins[feature] <= cut else right
+        return tree
+
+    got = {r.page_id: r for r in urlfilter.judge(pages, catalog.RULES, model=model).collect()}
+    for r in got.values():
+        h, p = brute_host_path(r.url)
+        values = [*plain_features(r.url, h, p), model.suffix.get(h.rsplit(".", 1)[-1], model.base)]
+        bins = [sum(v > e for e in edges) for v, edges in zip(values, model.edges, strict=True)]
+        margin = model.base + sum(leaf(t, bins) for t in model.trees)
+        assert r.verdict == (kind[r.rule] if r.rule else "block" if margin > 0 else "allow"), r
+    assert {r.verdict for r in got.values() if not r.rule} == {"allow", "block"} or len(got) < 50
+
+
+def test_url_sample_is_bounded_when_one_url_is_in_half_of_all_rows(spark, monkeypatch):
+    rows = [("http://a.com/en/same", 1)] * 3000 + [(f"http://h{i}.com/{'en' if i % 3 else 'x1'}/{i}", i % 3 // 1 and 1) for i in range(3000)]
+    df = spark.createDataFrame(rows, "url string, label int")
+    host, path = urlfilter.split_url(F.col("url"))
+    seen = []
+    keep = urlfilter.materialize
+    monkeypatch.setattr(urlfilter, "materialize", lambda d, tag: seen.append(keep(d, tag)) or seen[-1])
+    model = urlfilter.fit(df.withColumns({"host": host, "path": path}), train_rows=500)
+    assert 300 < seen[0].count() < 700 and model.trees
+
+
 def test_language_id(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = langid.model_for(spark, docs)
