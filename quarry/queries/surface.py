@@ -387,6 +387,17 @@ _ERRORS = {
     "SELECT n_nationkey FROM {nation} QUALIFY row_number() OVER (ORDER BY n_nationkey) = 1": "PARSE_SYNTAX_ERROR",
     "SELECT nope FROM {nation}": "UNRESOLVED_COLUMN.WITH_SUGGESTION",
     "SELECT n_name, count(*) FROM {nation}": "MISSING_GROUP_BY",
+    "SELECT percentile_cont(0.5) FROM {nation}": "INVALID_WITHIN_GROUP_EXPRESSION.WITHIN_GROUP_MISSING",
+    "SELECT percentile_cont(0.5) WITHIN GROUP (ORDER BY n_nationkey) OVER (ORDER BY n_regionkey) FROM {nation}": "INVALID_WINDOW_SPEC_FOR_AGGREGATION_FUNC",
+    "SELECT sum(n_nationkey) WITHIN GROUP (ORDER BY n_nationkey) FROM {nation}": "INVALID_SQL_SYNTAX.FUNCTION_WITH_UNSUPPORTED_SYNTAX",
+    "SELECT percentile_cont(n_nationkey) WITHIN GROUP (ORDER BY n_nationkey) FROM {nation}": "DATATYPE_MISMATCH.NON_FOLDABLE_INPUT",
+    "SELECT mode(n_nationkey) WITHIN GROUP (ORDER BY n_nationkey) FROM {nation}": "INVALID_WITHIN_GROUP_EXPRESSION.WRONG_NUM_ORDERINGS",
+    "SELECT listagg(DISTINCT n_name, ',') WITHIN GROUP (ORDER BY n_regionkey) FROM {nation}": "INVALID_WITHIN_GROUP_EXPRESSION.MISMATCH_WITH_DISTINCT_INPUT",
+    "SELECT row_number() FROM {nation}": "WINDOW_FUNCTION_WITHOUT_OVER_CLAUSE",
+    "SELECT n_name FROM {nation} WHERE sum(n_nationkey) > 1": "INVALID_WHERE_CONDITION",
+    "SELECT n_name FROM {nation} GROUP BY sum(n_nationkey)": "GROUP_BY_AGGREGATE",
+    "SELECT n_nationkey FROM {nation} a, {nation} b": "AMBIGUOUS_REFERENCE",
+    "INSERT INTO no_such_table VALUES (1)": "TABLE_OR_VIEW_NOT_FOUND",
     "SELECT * FROM no_such_table": "TABLE_OR_VIEW_NOT_FOUND",
     "SELECT no_such_function(1)": "UNRESOLVED_ROUTINE",
     "SELECT (SELECT n_nationkey FROM {nation})": "SCALAR_SUBQUERY_TOO_MANY_ROWS",
