@@ -3,7 +3,9 @@
 Texts with one and the same shingle set form a class; classes are joined, not rows. Two sets that
 are similar enough share one of the first shingles of each in any fixed order (the prefix rule), so
 classes meet in the tile of a shared prefix shingle. The order puts shingles that many texts hold
-last, which leaves the tiles small; it is only a hint, and results never depend on it. A tile with
+last, which leaves the tiles small; it is only a hint, and results never depend on it. A pair is
+looked for in the tile of its first common shingle: from its places there on, both sets must have
+enough shingles left for the overlap wanted. A tile with
 many classes is cut into bands of set size, and bands into blocks; only blocks whose sizes can reach
 the similarity meet. Within a tile, bit counts of hashed bitmaps bound the overlap from above; what
 is left is decided by the exact intersection of the sorted arrays.
@@ -27,6 +29,8 @@ from .words import BLANKS, mix, shingles
 
 #: A shingle counts as frequent from here on; the list of frequent ones holds at most FREQUENT_MOST (16 MB).
 FREQUENT_FROM, FREQUENT_MOST = 8, 1_000_000
+#: Rows of an Arrow batch that holds whole texts.
+TEXT_ROWS = 2048
 #: Shingles a task gathers before it looks for repeated ones.
 GATHER = 2_000_000
 #: Bits of a signature, and classes of one block of a tile.
@@ -109,14 +113,14 @@ def _frequent(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_rows(docs: DataFrame, frequent, k: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """key, cls, hot: the prefix shingles of every class; hot ones are on the frequent list."""
+    """key, cls, hot, pos: the prefix shingles of every class and their places in its order; hot ones are on the frequent list."""
     held = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, count = held.value
         seen: set[int] = set()
         for _, sets in _sets(batches, k):
-            keys, names, hots, sizes = [], [], [], []
+            keys, names, hots, places, sizes = [], [], [], [], []
             for s in sets:
                 c = _class(s)
                 if not len(s) or c in seen:
@@ -136,37 +140,38 @@ def prefix_rows(docs: DataFrame, frequent, k: int, num: int, den: int, id_col: s
                     own = np.concatenate([own, rest])
                 keys.append(own)
                 hots.append(np.arange(take) >= take - more)
+                places.append(np.arange(take, dtype=np.int32))
                 names.append(c)
                 sizes.append(take)
             if keys:
-                yield pa.record_batch([pa.array(_signed(np.concatenate(keys))), pa.array(np.repeat(np.array(names, np.int64), sizes)), pa.array(np.concatenate(hots))], ["key", "cls", "hot"])
+                yield pa.record_batch([pa.array(_signed(np.concatenate(keys))), pa.array(np.repeat(np.array(names, np.int64), sizes)), pa.array(np.concatenate(hots)), pa.array(np.concatenate(places))], ["key", "cls", "hot", "pos"])
 
     rows = docs.select(F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "key long, cls long, hot boolean")
+    return rows.mapInArrow(run, "key long, cls long, hot boolean, pos int")
 
 
 def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows in the order of key and class, the keys of more than one class; hot rows pass, each once."""
-    last_key = last_cls = None
+    last: tuple[int, int, int] | None = None
     last_hot = None
     waiting = False  # the last row so far is alone with its key
     for b in batches:
-        key, cls, hot = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        hot_key, hot_cls = key[hot], cls[hot]
-        once = np.ones(len(hot_key), bool)  # copies of a text in several tasks give the same rows
-        once[1:] = (hot_key[1:] != hot_key[:-1]) | (hot_cls[1:] != hot_cls[:-1])
-        if len(hot_key):
-            once[0] = (hot_key[0], hot_cls[0]) != last_hot
-            last_hot = (hot_key[-1], hot_cls[-1])
-        out_k, out_c = [hot_key[once]], [hot_cls[once]]
-        key, cls = key[~hot], cls[~hot]
-        if len(key):
-            if last_key is not None:
-                key, cls = np.concatenate([[last_key], key]), np.concatenate([[last_cls], cls])
-            fresh = np.ones(len(key), bool)
-            fresh[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-            continued = last_key is not None and not waiting
-            key, cls = key[fresh], cls[fresh]
+        key, cls, hot, pos = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        rows = [x[hot] for x in (key, cls, pos)]
+        once = np.ones(len(rows[0]), bool)  # copies of a text in several tasks give the same rows
+        once[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
+        if len(once):
+            once[0] = (rows[0][0], rows[1][0]) != last_hot
+            last_hot = (rows[0][-1], rows[1][-1])
+        out = [[x[once] for x in rows]]
+        rows = [x[~hot] for x in (key, cls, pos)]
+        if len(rows[0]):
+            if last is not None:
+                rows = [np.concatenate([[x], y]) for x, y in zip(last, rows, strict=True)]
+            fresh = np.ones(len(rows[0]), bool)
+            fresh[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
+            continued = last is not None and not waiting
+            key, cls, pos = (x[fresh] for x in rows)
             same = key[1:] == key[:-1]
             shared = np.zeros(len(key), bool)
             shared[1:] |= same
@@ -176,11 +181,11 @@ def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 shared[own] = True
                 shared[0] = False  # already given out
             waiting = not shared[-1] and not (continued and key[-1] == key[0])
-            last_key, last_cls = key[-1], cls[-1]
-            out_k.append(key[shared])
-            out_c.append(cls[shared])
-        if sum(map(len, out_k)):
-            yield pa.record_batch([pa.array(np.concatenate(out_k), pa.int64()), pa.array(np.concatenate(out_c), pa.int64())], ["key", "cls"])
+            last = (key[-1], cls[-1], pos[-1])
+            out.append([key[shared], cls[shared], pos[shared]])
+        key, cls, pos = (np.concatenate(x) for x in zip(*out, strict=True))
+        if len(key):
+            yield pa.record_batch([pa.array(key, pa.int64()), pa.array(cls, pa.int64()), pa.array(pos, pa.int32())], ["key", "cls", "pos"])
 
 
 def class_filter(classes: DataFrame, count: int) -> np.ndarray:
@@ -269,15 +274,16 @@ def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
 
 
 def _small_pairs(num: int, den: int):
-    """From rows key, cls, n of tiles of bounded size: the pairs whose sizes can reach the similarity, a > b."""
+    """From rows key, cls, n, pos of tiles of bounded size: the pairs a > b that can reach the similarity if the tile's shingle is their first common one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in whole_groups(batches):
-            key, cls, n = (c.to_numpy() for c in b.columns)
+            key, cls, n, pos = (c.to_numpy() for c in b.columns)
+            left = n - pos
             edge = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(b)]])
             found = [np.empty((2, 0), np.int64)]
             for i, j in _row_pairs(edge, np.zeros(len(b), np.int32)):
-                ok = den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])
+                ok = (den + num) * np.minimum(left[i], left[j]) >= num * (n[i] + n[j])
                 found.append(np.stack([np.maximum(cls[i[ok]], cls[j[ok]]), np.minimum(cls[i[ok]], cls[j[ok]])]))
             pairs = np.unique(np.concatenate(found, 1), axis=1)
             yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
@@ -438,29 +444,29 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component has the smallest id that is not null, or null. Ids may repeat: every row is judged by
     its own text. An empty table gives an empty result.
     """
-    found = materialize(profile(docs, k, id_col, text_col), "profile")
+    found = materialize(profile(docs, k, id_col, text_col), "profile", TEXT_ROWS)
     frequent = _frequent(found)
     rows = found.where("kind = 0").select(F.col("a").alias(id_col), F.col("b").alias("cls"), F.col("n").alias("n_shingles"))
     prefixes = prefix_rows(docs, frequent, k, num, den, id_col, text_col)
     dealt = prefixes.repartition(F.when(F.col("hot"), F.col("cls")).otherwise(F.col("key"))).sortWithinPartitions("key", "cls")
-    meet = materialize(dealt.mapInArrow(_shared_only, "key long, cls long"), "meet")
+    meet = materialize(dealt.mapInArrow(_shared_only, "key long, cls long, pos int"), "meet", 2 * TEXT_ROWS)
 
     # one row for each class first: copies of a text would all meet in one task of the join
     named = found.where("kind = 0").groupBy(F.col("b").alias("cls")).agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("wide").alias("wide"))
     marks = materialize(named.join(meet.select("cls").distinct(), "cls", "left_semi"), "signatures")
     wide, signed = marks.select("cls", "n", F.coalesce("wide", "sig").alias("sig")), marks.drop("wide")
     large = materialize(meet.groupBy("key").agg(F.count(F.lit(1)).alias("g")).where(F.col("g") > SMALL), "large-keys")
-    slim = meet.join(large, "key", "left_anti").join(signed.select("cls", "n"), "cls").select("key", "cls", "n")
+    slim = meet.join(large, "key", "left_anti").join(signed.select("cls", "n"), "cls").select("key", "cls", "n", "pos")
     small = slim.repartition("key").sortWithinPartitions("key").mapInArrow(_small_pairs(num, den), "a long, b long").distinct()
     small = small.join(wide.withColumnRenamed("cls", "a"), "a").join(wide.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("sig").alias("sig2")), "b")
     small = materialize(small.select("a", "b", "n", "sig", "m", "sig2").mapInArrow(_bounded(num, den), _PAIRS), "pairs")
-    big = materialize(meet.join(large, "key").join(signed, "cls"), "large")
+    big = materialize(meet.drop("pos").join(large, "key").join(signed, "cls"), "large")
     discard(meet, large)
 
     # each class with its most promising partner first; a class without one that the bounds allow is done
     first = materialize(_top(small.unionAll(_best(_tiles(big.withColumn("comp", F.col("cls")), num, den), num, den))), "pairs")
     near = materialize(first.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "near")
-    sets = materialize(_fetch_sets(docs, near, k, text_col), "sets")
+    sets = materialize(_fetch_sets(docs, near, k, text_col), "sets", TEXT_ROWS)
     all_big, big = big, materialize(big.join(near, "cls", "left_semi"), "large")
     links = [materialize(_verify(first, sets, num, den), "links")]
     discard(marks, near, all_big, first)
