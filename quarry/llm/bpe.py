@@ -23,8 +23,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: A text in which a blank is no safe place to cut: white space before it, and after it or at the end.
 _UNSAFE = re.compile(r"\s \s|\s $")
 _BLANK, _BLANKS = regex.compile(r"\s"), regex.compile(r"\s+")
-#: Chunks in one generation of a worker's memory; two generations take about 200 MB.
-REMEMBERED = 500_000
+#: Chunks in one generation of a worker's memory; two generations take about 80 MB.
+REMEMBERED = 200_000
 
 
 def byte_letters() -> list[str]:
