@@ -101,3 +101,14 @@ def test_stages_with_odd_rows_and_clashing_columns(spark):
     assert ids["line dedup"] == [1, 1, 3, 4, 5, 6, 7, None]  # the null text stays; 2 and the copy without an id lose every line
     assert ids["n-gram jaccard join"] == [1, 1, 3, 4, 5, 6, 7, None, None]
     assert ids["benchmark decontamination"] == ids["bpe encoding and decoding"] == [1, 1, 2, 3, 4, 5, 6, 7, None, None]
+
+
+def test_queries_against_their_sql(spark, duck):
+    from compare import rows, same
+
+    from quarry.llm import catalog
+
+    own = catalog.queries()
+    for name, text in catalog.oracle_sql().items():
+        got, want = own[name](spark, SF).toPandas(), duck.sql(text).df()
+        assert sorted(got.columns) == sorted(want.columns) and same(rows(got), rows(want)), name
