@@ -286,6 +286,23 @@ def test_passages_among_decoys(spark):
     assert pairs_of(passages.repeated_passages(frame(spark, rows).repartition(4)).collect()) == want
 
 
+def test_passages_of_frequent_seeds_only(spark):
+    """Two texts share 60 words but for every tenth, changed or left out, and 40 decoys hold each run between: every seed is frequent, yet the two are found."""
+    rng = random.Random(18)
+    rows, want = [], set()
+    for i in range(0, 2500, 250):
+        p = words(rng, 60, 10**6)
+        q = [w if (j + 1) % 10 else ("changed" if j % 20 == 9 or i % 500 else "") for j, w in enumerate(p)]
+        for j, own in enumerate((p, q)):
+            rows.append((i + j, " ".join(words(rng, 30, 10**6) + [w for w in own if w] + words(rng, 30, 10**6))))
+        want.add((i, i + 1))
+        for j in range(240):
+            at = j % 6 * 10
+            rows.append((i + 2 + j, " ".join(words(rng, 25, 10**6) + p[at : at + 9] + words(rng, 25, 10**6))))
+    rng.shuffle(rows)
+    assert pairs_of(passages.repeated_passages(frame(spark, rows).repartition(4)).collect()) == want
+
+
 def test_passages_do_not_depend_on_partitions(spark):
     """Very long, self-repeating, copied and boilerplate-ridden texts: the same rows from 1, 3 and 20 partitions."""
     rng = random.Random(15)
